@@ -5,6 +5,7 @@ from __future__ import annotations
 from webloom.llm.chat import OP10_SQL, op10_chat
 from webloom.llm.exact import OP7_SQL, op7_exact_dedup
 from webloom.llm.mix import OP1_SQL, op1_mix
+from webloom.llm.pack import op8_pack
 from webloom.llm.quality import op4_quality
 from webloom.llm.simhash import op3_simhash
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pack": op8_pack,
     "op10_chat": op10_chat,
 }
 ORACLES = {"op1_mix": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}
