@@ -8,11 +8,13 @@ from webloom.llm.mix import OP1_SQL, op1_mix
 from webloom.llm.pack import op8_pack
 from webloom.llm.quality import op4_quality
 from webloom.llm.simhash import op3_simhash
+from webloom.llm.warc import op6_warc
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack": op8_pack,
     "op10_chat": op10_chat,
