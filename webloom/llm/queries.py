@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from webloom.llm.chat import OP10_SQL, op10_chat
 from webloom.llm.exact import OP7_SQL, op7_exact_dedup
+from webloom.llm.extract import op9_html
 from webloom.llm.mix import OP1_SQL, op1_mix
 from webloom.llm.pack import op8_pack
 from webloom.llm.quality import op4_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack": op8_pack,
+    "op9_html": op9_html,
     "op10_chat": op10_chat,
 }
 ORACLES = {"op1_mix": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}
