@@ -5,6 +5,7 @@ from __future__ import annotations
 from webloom.llm.chat import OP10_SQL, op10_chat
 from webloom.llm.exact import OP7_SQL, op7_exact_dedup
 from webloom.llm.extract import op9_html
+from webloom.llm.lines import op5_lines
 from webloom.llm.mix import OP1_SQL, op1_mix
 from webloom.llm.pack import op8_pack
 from webloom.llm.quality import op4_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_lines": op5_lines,
     "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pack": op8_pack,
