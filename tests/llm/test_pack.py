@@ -106,6 +106,10 @@ def test_crc_joined():
 
 def test_encoder_equals_the_tokenizer():
     rnd, enc = random.Random(7), P.Encoder(PATH, keep=50)
+    plain = list("ab cdE'lsvtrem \t\n\r\x0b\x0c\x00\x1c\x7f.,!?12_-<|>")
+    for _ in range(400):
+        t = "".join(rnd.choices(plain, k=rnd.randrange(60)))
+        assert np.frombuffer(enc(t), "<u4").tolist() == TOK.encode(t, add_special_tokens=False).ids, repr(t)
     alphabet = list("ab cdE'lsv  \n\t.,!?12½²٣é字ß́  　\x1f\x85_-")
     for _ in range(400):
         t = "".join(rnd.choices(alphabet, k=rnd.randrange(60)))

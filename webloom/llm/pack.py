@@ -12,7 +12,9 @@ the pieces of its length; ranks come from counts by task, so nothing but counts
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -33,45 +35,55 @@ MOST_COUNTS = 1_000_000
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
+def _byte_chars() -> dict[int, str]:
+    """The byte-level BPE's character for each byte: printable ones of Latin-1 stand for themselves, the rest follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Kept(dict):
+    """Ids by part of a text; what isn't there yet comes from the tokenizer's model. Emptied when it holds `most` parts."""
+
+    CHARS = _byte_chars()
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenize, self.most = tokenizer.model.tokenize, most
+
+    def __missing__(self, part: str) -> bytes:
+        ids = array("I", [t.id for t in self.tokenize(part.encode().decode("latin-1").translate(self.CHARS))]).tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """A text's ids by the tokenizer, as bytes (little-endian, 32 bits each).
 
     A byte-level BPE first splits a text by a fixed pattern and then encodes each part by itself, so the ids of a part
-    are kept and used again; a part that isn't kept yet goes to the tokenizer. Texts with characters over which regular expression
-    engines may differ, or with the string of an added token, go to the tokenizer whole.
+    are kept and used again. Texts with characters over which regular expression engines may differ, or with the string of an
+    added token, go to the tokenizer whole.
     """
 
-    #: Fixed value: the pattern of the ByteLevel pre-tokenizer.
+    # The pattern of the ByteLevel pre-tokenizer, and what it comes to on ASCII.
     PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+    ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.A)
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.kept = Tokenizer.from_file(path), keep, {}
-        added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff\U000323b0-\U0010ffff]", *added]))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kept = _Kept(self.tokenizer, keep)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff\U000323b0-\U0010ffff]")
 
     def __call__(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return self._by_tokenizer(text)
-        kept, parts = self.kept, self.PATTERN.findall(text)
-        try:
-            return b"".join([kept[p] for p in parts])
-        except KeyError:
-            out = []
-            for p in parts:
-                ids = kept.get(p)
-                if ids is None:
-                    ids = self._by_tokenizer(p)
-                    if len(kept) >= self.keep:
-                        kept.clear()
-                    if len(p) <= 64:
-                        kept[p] = ids
-                out.append(ids)
-            return b"".join(out)
-
-    def _by_tokenizer(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ascii_ = text.isascii()
+        if any(a in text for a in self.added) or (not ascii_ and self.odd.search(text)) or (ascii_ and any(c in text for c in "\x1c\x1d\x1e\x1f")):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.kept.__getitem__, (self.ASCII if ascii_ else self.PATTERN).findall(text)))
 
 
 @cache
