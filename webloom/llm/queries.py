@@ -10,10 +10,12 @@ from webloom.llm.mix import OP1_SQL, op1_mix
 from webloom.llm.pack import op8_pack
 from webloom.llm.quality import op4_quality
 from webloom.llm.simhash import op3_simhash
+from webloom.llm.spotsigs import op2_spotsigs
 from webloom.llm.warc import op6_warc
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_spotsigs": op2_spotsigs,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_lines": op5_lines,
