@@ -122,6 +122,13 @@ def held_out(id):
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def fitted(df: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> tuple[DataFrame, Model]:
+    """The statistics of all rows, and the model that those with labels teach (rows held out aside)."""
+    x = written(measured(df, id, text), "quality")
+    y = labels.select(F.col(id), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col(id)))
+    return x, train(x.join(y, id))
+
+
 def scores(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """Every row's (id, held_out, score, predicted); learns from labelled rows that aren't held out.
 
@@ -129,9 +136,7 @@ def scores(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "te
     several labels teaches each. No labels: 0.5; labels of one class: that class. Null ids: held_out as of the empty string.
     Repeated rows come back as often. Other columns are left out. Empty table: no rows.
     """
-    x = written(measured(df, id, text), "quality")
-    y = labels.select(F.col(id), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col(id)))
-    model = train(x.join(y, id))
+    x, model = fitted(df, labels, id, text, label)
 
     def run(batches):
         for b in batches:
@@ -142,6 +147,19 @@ def scores(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "te
     return x.select(id, held_out(F.col(id)).alias("held_out"), "x").mapInArrow(run, f"`{id}` {kind}, held_out boolean, score double, predicted int")
 
 
+def accepted(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, all columns, whose text scores threshold or more. Odd rows as in scores(); no join back by id is needed."""
+    model = fitted(df, labels, id, text, label)[1]
+    at = df.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([features(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_fold(id) -> int:
     """held_out by hand, for tests."""
     return zlib.crc32(str(id).encode()) % 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from webloom.llm.chat import OP10_SQL, op10_chat
 from webloom.llm.exact import OP7_SQL, op7_exact_dedup
 from webloom.llm.extract import op9_html
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_mix": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import written
+from webloom.llm.common import small, written
 from webloom.llm.components import connected, forest
 
 SEED = 42
@@ -118,7 +118,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (a, b) that connect all of them at so many differing bits or fewer."""
     width = 64 // (radius + 1)
     cuts = [(j * width, width if j < radius else 64 - radius * width) for j in range(radius + 1)]
-    slices = F.array(*(F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1).alias("v")) for j, (at, bits) in enumerate(cuts)))
+    slices = F.array(*(F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1 if bits < 64 else -1).alias("v")) for j, (at, bits) in enumerate(cuts)))
     rows = fps.select("fp", F.explode(slices).alias("s")).select("fp", F.xxhash64("s.j", "s.v").alias("key"))
     if_large = rows.groupBy("key", F.bit_count("fp").alias("pop")).count()
     if_large = if_large.groupBy("key").agg(F.sum("count").alias("n"), F.collect_list(F.struct("pop", F.ceil(F.col("count") / tile).cast("int").alias("k"))).alias("tiles")).where(F.col("n") > tile)  # at most 65 bit counts a key
@@ -146,6 +146,24 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words
     return rows.join(named, "fp").select(id, "fp", "component")
 
 
+def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 3, radius: int = 3, most: int = 1_000_000) -> DataFrame:
+    """The rows of df, all columns: one for each group of near-duplicates, the one with the least id, then the least hash of its text.
+
+    Rows with the same id but other texts are told apart; of repeated rows one stays. A null id is the least.
+    most: broadcast the keys of the rows that go up to this number, else join them through a shuffle.
+    """
+    key = lambda c, t: F.struct(c.alias("id"), F.xxhash64(t).alias("th"))
+    found = written(near_duplicates(df.select(key(F.col(id), F.col(text)).alias("key"), F.col(text).alias("text")), "text", "key", words, radius), "simhash-found")
+    gone = small(written(found.where(~F.col("key").eqNullSafe(F.col("component"))).select("key").distinct(), "simhash-gone"), most)
+    again = written(found.where(F.col("key").eqNullSafe(F.col("component"))).groupBy("key").count().where("count > 1").select("key"), "simhash-again")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")).withColumn("key", key(F.col(f"row.`{id}`"), F.col(f"row.`{text}`")))
+    kept = rows.join(gone, rows.key.eqNullSafe(gone.key), "left_anti")
+    if again.take(1):
+        many = small(again, most)
+        kept = kept.join(many, kept.key.eqNullSafe(many.key), "left_anti").union(kept.join(many, kept.key.eqNullSafe(many.key), "left_semi").dropDuplicates(["key"]))
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
+
+
 def op3_simhash(spark, sf_dir):
     """Every document with its fingerprint and component (see near_duplicates)."""
     from webloom.llm.common import table
