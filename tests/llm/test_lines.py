@@ -6,9 +6,13 @@ import pyarrow as pa
 from webloom.llm import lines as L
 
 
+def shingles(line, k=L.SHINGLE):
+    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
+
+
 def roots_by_hand(lines, least=L.SIMILARITY):
     """Least index of each distinct line's component, all pairs compared."""
-    sets = [L.shingles(x) for x in lines]
+    sets = [shingles(x) for x in lines]
     root = list(range(len(lines)))
 
     def top(i):
@@ -18,7 +22,7 @@ def roots_by_hand(lines, least=L.SIMILARITY):
 
     for i in range(len(lines)):
         for j in range(i):
-            if L.alike(sets[i], sets[j], least):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     return [top(i) for i in range(len(lines))]
@@ -76,13 +80,25 @@ def test_large_bands_that_hold_several_components_are_compared_whole(spark):
     assert out == [(6, 5)]
 
 
+def test_alike_and_all_alike():
+    rnd = random.Random(9)
+    x = ["".join(rnd.choices("ab", k=rnd.randrange(1, 30))) for _ in range(60)]
+    x += [edited(rnd, "one two three four five six seven eight nine ten eleven twelve", i % 3) for i in range(30)]
+    sets, got = [shingles(s) for s in x], L.shingle_sets(x)
+    assert [len(s) for s in got] == [len(s) for s in sets]
+    for least in (0.5, 0.8, 1.0):
+        want = {(i, j) for j in range(len(x)) for i in range(j) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+        assert set(zip(*map(list, L.all_alike(got, least)), strict=True)) == want
+        assert {(i, j) for j in range(len(x)) for i in range(j) if L.alike(got[i], got[j], least)} == want
+
+
 def test_recall_of_banding_at_the_threshold():
     rnd = random.Random(5)
     hit = total = 0
     while total < 300:
         a = " ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(2, 9))) for _ in range(rnd.randrange(8, 60)))
         b = edited(rnd, a, rnd.choice([1, 1, 2, 3]))
-        x, y = L.shingles(a), L.shingles(b)
+        x, y = shingles(a), shingles(b)
         if a != b and 0.8 <= len(x & y) / len(x | y) < 0.9:
             g = L.bands_of([a, b])
             hit, total = hit + bool((g[0] == g[1]).any()), total + 1

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from webloom.llm.common import small, table, written
-from webloom.llm.components import connected
+from webloom.llm.components import connected, forest
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 14, 4, 0.8
 #: Bands with so many lines or fewer are paired whole.
@@ -39,66 +39,102 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Powers of _GOLD modulo 2**64, for joining hashes of neighbouring runs.
+_POWERS = {i: np.uint64(pow(int(_GOLD), i, 1 << 64)) for i in range(1, 64)}
 _ORDER = np.stack([np.random.default_rng(11 + i).permutation(BANDS * ROWS) for i in range(BANDS * ROWS)])
 
 
-def bands_of(lines: list[str], k: int = SHINGLE) -> np.ndarray:
-    """(line, band) hashes. A line shorter than a shingle is one shingle. An empty bin takes the value of the first
-    bin that isn't empty in a fixed random order of its own."""
-    n, bins = len(lines), BANDS * ROWS
-    sizes = np.array([len(x) for x in lines])
-    low = np.full(n * bins, np.iinfo(np.uint32).max, np.uint32)
-    full = np.zeros(n * bins, bool)
-    at = 0
-    while at < n:  # in parts of about a million characters
-        end = at + 1
-        total = int(sizes[at])
-        while end < n and total + sizes[end] < 1 << 20:
-            total += int(sizes[end])
+def _hashed(lines: list[str], k: int = SHINGLE):
+    """(first line, hashes of all shingles, their lines' numbers counted from the first one) for runs of lines of some 30,000 characters.
+
+    A line shorter than a shingle is one shingle, as if filled up with NUL.
+    """
+    n, at = len(lines), 0
+    while at < n:
+        end, total = at, 0
+        while end < n and (end == at or total + len(lines[end]) < 1 << 15):  # what the processor's cache holds
+            total += len(lines[end])
             end += 1
         pad = "\0" * (k - 1)
-        c = np.frombuffer(pad.join([*lines[at:end], ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        step = sizes[at:end] + (k - 1)
-        start = np.concatenate([[0], np.cumsum(step)[:-1]])
-        count = np.maximum(sizes[at:end] - k + 1, 1)
-        h = np.zeros(len(c) - (k - 1), np.uint64)
-        for j in range(k):
-            h = h * _GOLD + c[j : len(c) - (k - 1) + j] + np.uint64(1)
-        owner = np.repeat(np.arange(at, end), count)
-        where = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-        h = _mixed(h[where])
-        slot = owner * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(low, slot, h.astype(np.uint32))
-        full[slot] = True
+        c = np.frombuffer(pad.join([*lines[at:end], ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        sizes = np.fromiter(map(len, lines[at:end]), np.int64, end - at)
+        count = np.maximum(sizes - k + 1, 1)
+        h, width = c, 1
+        for bit in bin(k)[3:]:  # hashes of 1, 2 ... k characters, by doubling
+            h = h[: len(h) - width] * _POWERS[width] + h[width:]
+            width *= 2
+            if bit == "1":
+                h = h[: len(h) - 1] * _GOLD + c[width : width + len(h) - 1]
+                width += 1
+        start = np.concatenate([[0], np.cumsum(sizes + k - 1)[:-1]])
+        owner = np.repeat(np.arange(end - at), count)
+        where = np.arange(len(owner)) + np.repeat(start - (np.cumsum(count) - count), count)
+        yield at, _mixed(h[where]), owner, count
         at = end
-    low, full = low.reshape(n, bins), full.reshape(n, bins)
-    sig = low.astype(np.uint64)
-    empty_at = np.nonzero(~full)
-    left = np.arange(len(empty_at[0]))
+
+
+def bands_of(lines: list[str], k: int = SHINGLE) -> np.ndarray:
+    """(line, band) hashes. An empty bin takes the value of the first bin that isn't empty in a fixed random order of its own."""
+    n, bins = len(lines), BANDS * ROWS
+    low = np.full(n * bins, np.iinfo(np.uint64).max, np.uint64)
+    for at, h, owner, _ in _hashed(lines, k):
+        slot = (owner + at) * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(low, slot, h & np.uint64(0xFFFFFFFF))
+    low = low.reshape(n, bins)
+    sig, full = low.copy(), low != np.iinfo(np.uint64).max
+    row, bin_ = np.nonzero(~full)
     for t in range(bins):
-        if not len(left):
+        if not len(row):
             break
-        row, b = empty_at[0][left], empty_at[1][left]
-        src = _ORDER[b, t]
+        src = _ORDER[bin_, t]
         ok = full[row, src]
-        sig[row[ok], b[ok]] = low[row[ok], src[ok]].astype(np.uint64) + (np.uint64(t + 1) << np.uint64(32))
-        left = left[~ok]
+        sig[row[ok], bin_[ok]] = low[row[ok], src[ok]] + (np.uint64(t + 1) << np.uint64(32))
+        row, bin_ = row[~ok], bin_[~ok]
     out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD, (n, 1))
     for r in range(ROWS):
         out = _mixed(out * _GOLD + sig[:, r::ROWS])
     return out.view(np.int64)
 
 
-def shingles(line: str, k: int = SHINGLE) -> set[str]:
-    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
+def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+    """Each line's set of shingles, as sorted 64-bit hashes."""
+    out = []
+    for _, h, owner, count in _hashed(lines, k):
+        ends = np.cumsum(count)
+        for s, e in zip((ends - count).tolist(), ends.tolist(), strict=True):
+            h[s:e].sort()
+        first = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+        out += np.split(h[first], np.cumsum(np.add.reduceat(first, ends - count))[:-1])
+    return out
 
 
-def alike(a: set, b: set, least: float = SIMILARITY) -> bool:
-    """Whether the Jaccard similarity is least or more; the sizes alone often tell that it isn't."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
+def alike(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two sets is least or more; the sizes alone often tell that it isn't."""
+    n, m = len(x), len(y)
+    if min(n, m) < least * max(n, m):
         return False
-    both = len(a & b)
-    return both >= least * (len(a) + len(b) - both)
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same >= least * (n + m - same)
+
+
+def all_alike(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of sets that are alike. Only elements of two sets or more count; their incidence matrix, in parts, times its own transpose has what pairs have in common."""
+    sizes = np.array([len(x) for x in sets], np.float32)
+    elements, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    shared = count[of] > 1
+    of, owner = (np.cumsum(count > 1) - 1)[of[shared]], owner[shared]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(of, kind="stable")
+    of, owner = of[order], owner[order]
+    for lo in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
+        s, e = np.searchsorted(of, (lo, lo + 4096))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[s:e], of[s:e] - lo] = 1
+        same += m @ m.T
+    return np.nonzero(np.triu(same >= least * (sizes[:, None] + sizes - same), 1))
 
 
 def line_id(line: str) -> int:
@@ -166,13 +202,18 @@ def _groups(batches, columns: int):
 def _paired(batches):
     """Rows (band, line) sorted -> candidate pairs (a, b), and large = the band where it has more than FEW lines (else null).
 
-    One pass with the band's first lines and the last one in memory, whatever the band's size.
+    One pass with the band's first lines and the last one in memory, whatever the band's size. Only rows that share
+    their band with a neighbour (or may, at a batch's ends) are looked at one by one.
     """
     band, seen, last, count = None, [], None, 0
-
     for batch in batches:
+        gs, ls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(gs):
+            continue
+        next_ = gs[1:] == gs[:-1]
+        some = np.r_[True, next_] | np.r_[next_, True]
         a, c, large = [], [], []
-        for g, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for g, line in zip(gs[some].tolist(), ls[some].tolist(), strict=True):
             if g != band:
                 band, seen, last, count = g, [line], line, 1
                 continue
@@ -201,22 +242,20 @@ def _paired(batches):
 
 
 def _verified(least: float):
+    """Rows (a, b, text of a, text of b) -> the pairs that are alike."""
+
     def run(batches):
-        kept: dict[int, set] = {}
+        kept: dict[int, np.ndarray] = {}
+        held = 0
         for b in batches:
             a, c, ta, tc = (b.column(i).to_pylist() for i in range(4))
-            good = []
-            for i in range(len(a)):
-                if len(kept) > 20_000:
-                    kept.clear()
-                x = shingles(ta[i])
-                y = kept.get(c[i])
-                if y is None:
-                    y = shingles(tc[i])
-                    if len(y) < 5000:
-                        kept[c[i]] = y
-                good.append(alike(x, y, least))
-            yield b.filter(pa.array(good)).select(["a", "b"])
+            new = {i: t for i, t in (*zip(a, ta, strict=True), *zip(c, tc, strict=True)) if i not in kept}
+            if held > 4_000_000:
+                kept, held = {}, 0
+                new = dict(zip(a, ta, strict=True)) | dict(zip(c, tc, strict=True))
+            kept.update(zip(new, shingle_sets(list(new.values())), strict=True))
+            held += sum(map(len, new.values()))
+            yield b.filter(pa.array([alike(kept[x], kept[y], least) for x, y in zip(a, c, strict=True)])).select(["a", "b"])
 
     return run
 
@@ -227,23 +266,17 @@ def _compared(least: float):
     def run(batches):
         for g, line, root, text in _groups(batches, 4):
             out = []
-            for s, e in zip(np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1], np.r_[np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)], strict=True):
-                own = {int(r): int(r) for r in root[s:e]}
-
-                def top(r, own=own):
-                    while own[r] != r:
-                        own[r] = r = own[own[r]]
-                    return r
-
-                sets = [shingles(t) for t in text[s:e]]
-                for i in range(e - s):
-                    for j in range(i):
-                        x, y = top(int(root[s + i])), top(int(root[s + j]))
-                        if x != y and alike(sets[i], sets[j], least):
-                            own[max(x, y)] = min(x, y)
-                            out.append((int(line[s + i]), int(line[s + j])))
+            cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
+            for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(g)], strict=True):
+                own = root[s:e]
+                if e - s < 2 or (own == own[0]).all():
+                    continue
+                i, j = all_alike(shingle_sets(list(text[s:e])), least)
+                apart = own[i] != own[j]
+                out.append(forest(own[i[apart]], own[j[apart]]))
             if out:
-                yield _batch(["a", "b"], *(pa.array(x, pa.int64()) for x in zip(*out, strict=True)))
+                a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield _batch(["a", "b"], pa.array(a, pa.int64()), pa.array(b, pa.int64()))
 
     return run
 
@@ -271,7 +304,7 @@ def links(docs: DataFrame, text: str, least: float) -> DataFrame:
     pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.xxhash64("large", F.least(t, own), F.greatest(t, own)))
     tiles = left.select(F.explode(pair).alias("g"), "line", "root").join(texts, "line").select("g", "line", "root", "text")
     more = tiles.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least), "a long, b long")
-    return connected(written(found.union(more), "lines-all"))
+    return connected(written(roots.toDF("a", "b").union(more), "lines-all"))
 
 
 @F.pandas_udf(StringType())
