@@ -43,9 +43,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most so many rows; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut into runs of so many rows, so that what a text becomes in Python is held for a few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def small(df: DataFrame, rows: int, weight=None) -> DataFrame:
+    """df with a broadcast hint if it was counted to have at most so many rows; else df as it is, for a shuffled join.
+
+    weight: what a row counts for, where rows may be long.
+    """
+    n = df.agg(F.sum(weight)).first()[0] or 0 if weight is not None else df.count()
+    return F.broadcast(df) if n <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import table
+from webloom.llm.common import sliced, table
 from webloom.llm.html_labels import PAGES
 
 # Names of HTML elements, by what they do here.
@@ -217,7 +217,7 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     kind = pages.schema[id].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([main_text(h) for h in b.column(2).to_pylist()], pa.string())], [id, "url", "text"])
 
     out = pages.select(F.col(id), F.col(url).cast("string").alias("url"), html).mapInArrow(run, f"`{id}` {kind}, url string, text string")

@@ -16,9 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from webloom.llm.common import small, table, written
+from webloom.llm.common import sliced, small, table, written
 from webloom.llm.components import connected, forest
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 14, 4, 0.8
@@ -151,7 +151,7 @@ def _batch(names, *arrays):
 
 
 def _occurrences(batches):
-    for b in batches:
+    for b in sliced(batches):
         ids, nos, rows = [], [], []
         for r, text in enumerate(b.column(2).to_pylist()):
             for no, line in lines_of(text):
@@ -163,8 +163,8 @@ def _occurrences(batches):
 
 
 def _distinct_lines(batches):
-    """The lines of each batch, once each."""
-    for b in batches:
+    """The lines of a few texts at a time, once each."""
+    for b in sliced(batches, 1024):
         found = {}
         for text in b.column(0).to_pylist():
             for _, line in lines_of(text):
@@ -247,7 +247,7 @@ def _verified(least: float):
     def run(batches):
         kept: dict[int, np.ndarray] = {}
         held = 0
-        for b in batches:
+        for b in sliced(batches, 2048):
             a, c, ta, tc = (b.column(i).to_pylist() for i in range(4))
             new = {i: t for i, t in (*zip(a, ta, strict=True), *zip(c, tc, strict=True)) if i not in kept}
             if held > 4_000_000:
@@ -307,17 +307,23 @@ def links(docs: DataFrame, text: str, least: float) -> DataFrame:
     return connected(written(roots.toDF("a", "b").union(more), "lines-all"))
 
 
-@F.pandas_udf(StringType())
-def _without(text, gone):  # noqa: ANN001
-    import pandas as pd
+def _without(at: int, names: list[str]):
+    """Rows with the numbers of the lines to drop as their last column -> rows without those lines, and how many they are."""
 
-    def one(t, g):
-        if g is None or t is None:
-            return t
-        g = set(g)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
+    def one(text, gone):
+        if not gone or text is None:
+            return text
+        gone = set(gone)
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
-    return pd.Series([one(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    def run(batches):
+        for b in sliced(batches):
+            gone = b.column(b.num_columns - 1).to_pylist()
+            columns = [b.column(i) for i in range(b.num_columns - 1)]
+            columns[at] = pa.array([one(t, g) for t, g in zip(columns[at].to_pylist(), gone, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(g or ()) for g in gone], pa.int32())], names)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -341,11 +347,13 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     stays = known.join(known.groupBy("root").agg(F.min("first").alias("stays")), "root").select("line", "stays")
     stays = small(written(stays, "lines-stays"), MOST_ROWS)
     gone = seen.join(stays, "line").where(~at.eqNullSafe(F.col("stays"))).groupBy("id", "dk").agg(F.sort_array(F.collect_set("no")).alias("gone"))
-    gone = small(written(gone, "lines-gone"), MOST_ROWS).toDF("_of_id", "_of_dk", "_gone")
+    gone = small(written(gone, "lines-gone"), MOST_ROWS, F.size("gone") / 8 + 1).toDF("_of_id", "_of_dk", "_gone")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     whole = whole.join(gone, F.col(f"row.`{id}`").eqNullSafe(F.col("_of_id")) & (F.xxhash64(f"row.`{text}`") == F.col("_of_dk")), "left")
-    out = [_without(F.col(f"row.`{text}`"), F.col("_gone")).alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "lines_dropped"]
-    return whole.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_dropped"))
+    kept = [c for c in docs.columns if c != "lines_dropped"]
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("lines_dropped", IntegerType())])
+    rows = whole.select(*(F.col(f"row.`{c}`") for c in kept), "_gone")
+    return rows.mapInArrow(_without(kept.index(text), schema.names), schema)
 
 
 def op5_lines(spark, sf_dir):

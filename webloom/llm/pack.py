@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import small, table, written
+from webloom.llm.common import sliced, small, table, written
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 64, 4, 1
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,7 +71,7 @@ class Encoder:
     PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
     ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.A)
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -248,7 +248,7 @@ def _cut(path: str, end_id: int, window: int, unit: int, id: str):
     def run(batches):
         encode, task = encoder(path), TaskContext.get().partitionId()
         seen = [0] * (window // unit + 1)
-        for b in batches:
+        for b in sliced(batches):
             out = {k: [] for k in ("id", "start", "length", "doc_tokens", "crc", "units", "tail", "c", "rank")}
 
             def add(*row, out=out):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import table, written
+from webloom.llm.common import sliced, table, written
 
 THRESHOLD = 0.3
 #: Bytes (a sixth as many words) added to a text's length, so that shares of a very short text aren't extreme.
@@ -56,7 +56,7 @@ def measured(df: DataFrame, id: str, text: str) -> DataFrame:
     kind = df.schema[id].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], [id, "x"])
 
@@ -153,7 +153,7 @@ def accepted(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     at = df.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             x = np.array([features(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= threshold))
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import small, written
+from webloom.llm.common import sliced, small, written
 from webloom.llm.components import connected, forest
 
 SEED = 42
@@ -47,7 +47,7 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id", words: i
     """(id, fp long) of every row, the fingerprint as a signed 64-bit number."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [id, "fp"])
 

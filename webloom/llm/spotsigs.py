@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import table, written
+from webloom.llm.common import sliced, table, written
 from webloom.llm.components import connected
 
 CHAIN, GAP, SIMILARITY = 2, 8, 0.8
@@ -97,7 +97,7 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
     kind = df.schema[id].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoded(signatures(t)) for t in b.column(1).to_pylist()], pa.string())], [id, "fingerprint"])
 
     return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, fingerprint string")
@@ -152,7 +152,7 @@ def _passed(batches):
     the next document. The last row of a part is a copy of the next part's first one (head)."""
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     held = None  # (part, id, text, signatures)
-    for b in batches:
+    for b in sliced(batches):
         out = []
         for part, id_, text, head in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
             sigs = None

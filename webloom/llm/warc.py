@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import fresh_path, small, string_of, table, written
+from webloom.llm.common import fresh_path, sliced, small, string_of, table, written
 
 #: Fixed values of the format.
 DICT_MAGIC, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -172,7 +172,7 @@ def _write(folder: str, dictionary: bytes, most: int):
             done.append((name, n))
             out, n, k = None, 0, k + 1
 
-        for b in batches:
+        for b in sliced(batches):
             for page, url, html, first in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/.{task.taskAttemptId()}-{k}.tmp", compression=None)
