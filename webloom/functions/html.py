@@ -22,9 +22,9 @@ def strip_comments(h: Column) -> Column:
     return F.regexp_replace(h, COMMENT, "")
 
 
-def strip_hidden(h: Column) -> Column:
-    """Without declarations, scripts and styles (comments have gone before)."""
-    return F.regexp_replace(h, HIDDEN, "")
+def strip_hidden(h: Column, mark: str = "") -> Column:
+    """With declarations, scripts and styles replaced by a mark (comments have gone before)."""
+    return F.regexp_replace(h, HIDDEN, mark)
 
 
 def pieces(h: Column) -> Column:

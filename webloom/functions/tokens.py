@@ -63,7 +63,7 @@ def _weighted(text: Column, base: Column) -> Column:
 
 def tokens(url: Column, html: Column) -> Column:
     """Array of (position, term, weight) of the tokens that aren't stopped; weight falls by a thousandth with each."""
-    doc = strip_hidden(strip_comments(html))
+    doc = strip_hidden(strip_comments(html), "<>")  # a script ends a phrase, a comment doesn't
     doc = F.regexp_replace(doc, r"(?s)</body.*", "")
     chunks = F.split(doc, _EVENTS)
     start = F.struct(F.array().cast("array<struct<text:string,base:double>>").alias("out"), F.lit(HEAD).alias("sec"), F.lit(1.0).alias("bold"), F.lit(1.0).alias("head"))

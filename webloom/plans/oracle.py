@@ -56,8 +56,8 @@ def crawlable(u: str) -> str:
     return f"(strlen({u}) BETWEEN 4 AND {U.MAX_URL_BYTES} AND NOT (strlen({u}) > 4 AND ({ends})) AND strlen({host(u)}) > 2 AND NOT (strlen({host(u)}) > 3 AND ({hosts})))"
 
 
-def clean(h: str) -> str:
-    return f"regexp_replace(regexp_replace({h}, {q(COMMENT)}, '', 'g'), {q(HIDDEN)}, '', 'g')"
+def clean(h: str, mark: str = "") -> str:
+    return f"regexp_replace(regexp_replace({h}, {q(COMMENT)}, '', 'g'), {q(HIDDEN)}, {q(mark)}, 'g')"
 
 
 STORE = f"""store AS (
@@ -92,7 +92,7 @@ _STOP = f"term IN ({', '.join(map(q, T.STOP_WORDS))}) OR " + " OR ".join(f"start
 
 #: From store(page_index, url, html): tokens(page_index, position, term, weight).
 TOKENS = f"""parts AS (
-  SELECT page_index, regexp_extract_all(regexp_replace({clean("coalesce(html, '')")}, '(?s)</body.*', ''), {q(PIECE)}) AS l FROM store),
+  SELECT page_index, regexp_extract_all(regexp_replace({clean("coalesce(html, '')", "<>")}, '(?s)</body.*', ''), {q(PIECE)}) AS l FROM store),
 segments AS (SELECT page_index, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM parts),
 stated AS (
   SELECT page_index, i, s,
