@@ -25,9 +25,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with what is left of their lines; those that have lost all their text go."""
+    """All documents with what is left of their lines, which may be nothing."""
     out = lines.dedup_lines(_documents(docs))
-    out = out.where((F.col("lines_dropped") == 0) | (F.trim("text") != ""))
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("lines_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

@@ -24,7 +24,6 @@ def test_run_against_plain_python(spark, sf, tmp_path):
     bad = {r.doc_id for r in Q.scores(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect() if r.score < 0.3}
     assert bad
     left = test_lines.by_hand(sorted((i, r.text) for i, r in rows.items() if i not in bad))
-    left = {i: t for i, t in left.items() if t.strip()}
     near = test_simhash.by_hand(list(left.items()))
     left = {i: left[i] for i, _, c in near if i == c}
     size = Counter()
