@@ -91,25 +91,29 @@ def within_max_words(found: Column, most: int = MAX_WORDS) -> Column:
     terms = F.transform(found, lambda t: t["term"])
     distinct = F.array_distinct(terms)
     end = F.array_position(terms, F.get(distinct, F.lit(most - 1))).cast("int")
-    return F.when(F.size(distinct) < most, found).otherwise(F.slice(found, F.lit(1), end))
+    return F.when((F.size(found) < most) | (F.size(distinct) < most), found).otherwise(F.slice(found, F.lit(1), end))
 
 
 def page_tokens(pages: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     """pages(page_index, url, html) -> (page_index, position, term, weight). Null url or html counts as empty."""
-    found = within_max_words(tokens(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), most)
-    return pages.select("page_index", F.inline(found))
+    found = pages.select("page_index", tokens(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("found"))
+    kept = found.select("page_index", within_max_words(F.col("found"), most).alias("kept"))  # steps of their own: each array is made once
+    # outer: else Spark infers a filter on the array's size and pushes copies of the whole expression down to the scan
+    return kept.select("page_index", F.inline_outer("kept")).where("position is not null")
 
 
 def small_word(term: Column) -> Column:
     """A term's entry in the dictionary of short words, or the empty string: up to its first space if that has 8 bytes or fewer,
     else up to a dot or the end of a character of another script among the first 8."""
-    w = F.substring_index(term, " ", 1)
 
-    def end(j: Column) -> Column:
+    def end(w: Column, j: Column) -> Column:
         c, at = F.substr(w, j, F.lit(1)), F.octet_length(F.substr(w, F.lit(1), j - 1))
         wide = F.octet_length(c) > 1
         n = F.when(wide, F.when(at + F.octet_length(c) <= SMALL_BYTES, j).otherwise(j - 1)).when(~c.rlike(rf"[{_ALNUM}]"), j - 1)
         return F.when(at <= SMALL_BYTES, n)
 
-    ends = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(SMALL_BYTES + 1), F.char_length(w))), end), lambda n: n.isNotNull())
-    return F.when(F.octet_length(w) <= SMALL_BYTES, w).otherwise(F.substr(w, F.lit(1), F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))))
+    def cut(w: Column) -> Column:
+        ends = F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(SMALL_BYTES + 1), F.char_length(w))), lambda j: end(w, j)), lambda n: n.isNotNull())
+        return F.when(F.octet_length(w) <= SMALL_BYTES, w).otherwise(F.substr(w, F.lit(1), F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))))
+
+    return F.get(F.transform(F.array(F.substring_index(term, " ", 1)), cut), F.lit(0))

@@ -9,16 +9,24 @@ from webloom.functions import bf16
 from webloom.functions.tokens import MAX_WORDS, page_tokens, small_word
 
 
+def tokens_by_page(store: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """All tokens, partitioned by page. It is the pages that are shuffled, not their tokens, which have ten times the size;
+    windows and groups by page that follow need no other exchange. The number of partitions is given, as adaptive execution
+    would merge small ones, while tokens take far more time than their pages' size tells."""
+    n = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return page_tokens(store.select("page_index", "url", "html").repartition(n, "page_index"), max_words)
+
+
 def page_terms(tokens: DataFrame, normalizer: str = "reset") -> DataFrame:
     """(page_index, position, term, weight) -> (page_index, term, weight, position, total) for each term of a page.
 
     weight: the largest, truncated. position: the last at which the weight exceeds that, else the first with it. total, by which a
     page is normalised: normalizer "sum" adds up the weights of first occurrences; "reset" starts again from the gain whenever a
-    repeated term outweighs what is stored for it. One shuffle, by page, serves all windows.
+    repeated term outweighs what is stored for it. Give it tokens_by_page(): then nothing is shuffled here.
     """
     of_term = Window.partitionBy("page_index", "term")
     earlier = of_term.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    t = tokens.repartition("page_index").withColumn("stored", bf16.truncate(F.max("weight").over(of_term)))
+    t = tokens.withColumn("stored", bf16.truncate(F.max("weight").over(of_term)))
     t = t.withColumn("was", F.max("weight").over(earlier)).withColumn("kept", bf16.truncate(F.col("was")))
     gain = F.when(F.col("weight") > F.col("kept"), F.struct("position", (F.col("weight") - F.col("kept")).alias("gain")))
     if normalizer == "reset":
@@ -35,7 +43,7 @@ def page_terms(tokens: DataFrame, normalizer: str = "reset") -> DataFrame:
 
 def main_dictionary(store: DataFrame, ranks: DataFrame | None = None, max_words: int = MAX_WORDS, normalizer: str = "reset") -> DataFrame:
     """page_store [, ranks(node = page_key, rank)] -> postings (term, rank, page_index, position); pages without a rank have 1."""
-    terms = page_terms(page_tokens(store, max_words), normalizer)
+    terms = page_terms(tokens_by_page(store, max_words), normalizer)
     if ranks is None:
         terms = terms.withColumn("page_rank", F.lit(1.0))
     else:

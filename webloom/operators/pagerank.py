@@ -18,7 +18,7 @@ def resolved_links(store: DataFrame) -> DataFrame:
     Pages whose key isn't that of their URL give no links.
     """
     sound = store.where(F.col("page_key") == url_key(F.col("url")))
-    found = sound.select(F.col("page_key").alias("src"), F.explode(F.array_distinct(canonical_links(F.col("html"), F.col("url")))).alias("target"))
+    found = sound.select(F.col("page_key").alias("src"), F.explode_outer(F.array_distinct(canonical_links(F.col("html"), F.col("url")))).alias("target"))
     keyed = found.where("target is not null").select("src", url_key(F.col("target")).alias("dst"))
     return keyed.join(store.select(F.col("page_key").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions import urls as U
-from webloom.functions.tokens import page_tokens
 from webloom.operators import frontier, index, kvlog, pagerank, sorting
 from webloom.operators import search as S
 from webloom.plans import oracle as O
@@ -109,7 +108,7 @@ def page_get(spark, d):
 @query(f"WITH {O.STORE}, {O.LINKS} SELECT DISTINCT page_index, target FROM targets WHERE target IS NOT NULL")
 def extract_links(spark, d):
     """Distinct link targets of every page."""
-    s = _store(spark, d).select("page_index", F.explode(F.array_distinct(H.canonical_links(F.col("html"), F.col("url")))).alias("target"))
+    s = _store(spark, d).select("page_index", F.explode_outer(F.array_distinct(H.canonical_links(F.col("html"), F.col("url")))).alias("target"))
     return s.where("target is not null")
 
 
@@ -176,13 +175,13 @@ def rank_stats(spark, d):
 @query(f"WITH {O.STORE}, {O.TOKENS} SELECT page_index, position, term, round(weight, 9) AS weight FROM tokens")
 def page_token_weights(spark, d):
     """Every token of every page."""
-    return page_tokens(_store(spark, d)).select("page_index", "position", "term", F.round("weight", 9).alias("weight"))
+    return index.tokens_by_page(_store(spark, d)).select("page_index", "position", "term", F.round("weight", 9).alias("weight"))
 
 
 @query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms()} SELECT page_index, term, round(weight, 9) AS weight, position, round(total, 6) AS total FROM terms")
 def phrase_weights(spark, d):
     """Every term of every page with its stored weight and position, and the page's normaliser."""
-    return index.page_terms(page_tokens(_store(spark, d))).select("page_index", "term", F.round("weight", 9).alias("weight"), "position", F.round("total", 6).alias("total"))
+    return index.page_terms(index.tokens_by_page(_store(spark, d))).select("page_index", "term", F.round("weight", 9).alias("weight"), "position", F.round("total", 6).alias("total"))
 
 
 @query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms()}, {O.MAIN} SELECT term, round(rank, 9) AS rank, page_index, position FROM main_dict")
@@ -280,7 +279,7 @@ SELECT url_key, url, host, {O.partition('host', frontier.PARTITIONS)} AS part, a
 def frontier_admit(spark, d):
     """All links of all pages, admitted against the stored pages."""
     s = _store(spark, d)
-    links = s.select(F.col("page_index").alias("arrival"), F.explode(H.canonical_links(F.col("html"), F.col("url"))).alias("url")).where("url is not null")
+    links = s.select(F.col("page_index").alias("arrival"), F.explode_outer(H.canonical_links(F.col("html"), F.col("url"))).alias("url")).where("url is not null")
     return frontier.admit(links, s.select(F.col("page_key").alias("url_key"))).select("url_key", "url", "host", "part", "arrival")
 
 
