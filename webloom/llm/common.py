@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,17 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/webloom/{tag}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB at most where the session has Spark's default of 64 MB: long texts come in few rows at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == f"{64 << 20}b":
+        spark.conf.set(name, "4m")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
+    small_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._webloom_path = path
@@ -44,10 +53,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def sliced(batches, rows: int = 256):
-    """Arrow batches cut into runs of so many rows, so that what a text becomes in Python is held for a few texts at a time."""
+    """Arrow batches cut into runs of so many rows, so that what a text becomes in Python is held for a few texts at a time.
+
+    A worker process lives on after its task, so Arrow's free memory goes back to the system at the end.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def small(df: DataFrame, rows: int, weight=None) -> DataFrame:
@@ -60,6 +73,7 @@ def small(df: DataFrame, rows: int, weight=None) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -72,9 +72,7 @@ class Encoder:
     ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+""", re.A)
 
     def __init__(self, path: str, keep: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.kept = _Kept(self.tokenizer, keep)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = regex.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff\U000323b0-\U0010ffff]")
@@ -87,8 +85,11 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def tokenizer(path: str):
+    """A process reads the file once; the ids that an Encoder keeps go with its task."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 # --- crc32 of joined runs -----------------------------------------------------------------------------------------------
@@ -246,7 +247,7 @@ def _cut(path: str, end_id: int, window: int, unit: int, id: str):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, task = encoder(path), TaskContext.get().partitionId()
+        encode, task = Encoder(path), TaskContext.get().partitionId()
         seen = [0] * (window // unit + 1)
         for b in sliced(batches):
             out = {k: [] for k in ("id", "start", "length", "doc_tokens", "crc", "units", "tail", "c", "rank")}
