@@ -51,7 +51,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     at = F.filter(F.transform("ts", lambda x, i: F.when(x["r"] == target, i)), lambda i: i.isNotNull())
     g = g.withColumn("at", at).withColumn("n", F.size("ts"))
     ends = F.when((F.size("at") == 0) | (F.try_element_at("at", F.lit(-1)) < F.col("n") - 1), F.concat("at", F.array("n"))).otherwise(F.col("at"))
-    e = g.select("c", "ts", "parts", "n", F.posexplode(ends).alias("example", "i"))
+    e = g.select("c", "ts", "parts", "n", F.posexplode_outer(ends).alias("example", "i"))
     e = e.select("c", "example", F.array_join(F.slice("parts", F.lit(1), F.col("i")), "").alias("context"), F.when(F.col("i") < F.col("n"), F.get("ts", F.col("i"))).alias("t"))
     head = F.concat(F.lit(OPEN), escape(F.col("t.r")), F.lit(CLOSE))
     return e.select(
