@@ -32,11 +32,16 @@ _EVENTS = r"(?=<title|</title|<body|</?b>|</?h[1-6]>)"
 _START = rf"(?=((?<![{_ALNUM}])[{_ALNUM}][{_ALNUM} .]{{0,{TERM_BYTES - 1}}}|[^\x00-\x7F][^\x00-/:-@\[-`{{-\x7F]{{0,{GRAM_BYTES - 1}}}))"
 
 
+def _plain(p: Column) -> Column:
+    """Whether a string is ASCII: as a phrase is, while a gram begins with a character that isn't."""
+    return F.octet_length(p) == F.char_length(p)
+
+
 def _cut(p: Column) -> Column:
     """A phrase without separators at its end, or the longest start of a gram that fits."""
     fits = lambda n: F.octet_length(F.substr(p, F.lit(1), n)) <= GRAM_BYTES
     gram = F.substr(p, F.lit(1), F.array_max(F.filter(F.sequence(F.lit(1), F.char_length(p)), fits)))
-    return F.when(p.rlike(rf"^[{_ALNUM}]"), F.regexp_replace(p, "[ .]+$", "")).when(F.octet_length(p) <= GRAM_BYTES, p).otherwise(gram)
+    return F.when(_plain(p), F.rtrim(p, F.lit(" ."))).when(F.octet_length(p) <= GRAM_BYTES, p).otherwise(gram)
 
 
 def phrases(text: Column) -> Column:
@@ -50,15 +55,17 @@ def phrases(text: Column) -> Column:
 
 
 def _stopped(term: Column) -> Column:
-    bad = term.isin(*STOP_WORDS)
+    wide = F.lit(False)
     for s in STOP_STARTS:
-        bad = bad | term.startswith(s)
-    return bad
+        wide = wide | term.startswith(s)
+    return F.when(_plain(term), (F.octet_length(term) <= max(map(len, STOP_WORDS))) & term.isin(*STOP_WORDS)).otherwise(wide)
 
 
 def _weighted(text: Column, base: Column) -> Column:
     """(term, weight without decay) of every token of a text."""
-    return F.transform(phrases(text), lambda p: F.struct(ascii_lower(p).alias("term"), (base * F.when(p.rlike("[A-Z]"), CAPITAL).otherwise(1.0)).alias("w")))
+    lower = lambda p: F.when(_plain(p), F.lower(p)).otherwise(ascii_lower(p))
+    pairs = F.transform(phrases(text), lambda p: F.struct(p.alias("p"), lower(p).alias("term")))
+    return F.transform(pairs, lambda x: F.struct(x["term"].alias("term"), F.when(x["p"] == x["term"], base).otherwise(base * CAPITAL).alias("w")))
 
 
 def tokens(url: Column, html: Column) -> Column:
