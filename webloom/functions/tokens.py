@@ -7,6 +7,8 @@ a shuffle: a page becomes an array of tokens in its own row.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,13 @@ MAX_WORDS = 2000
 # Sections of a page, in the order they are gone through.
 HEAD, TITLE, AFTER_TITLE, BODY = 2, 3, 4, 5
 
-_ALNUM = "A-Za-z0-9"
+#: Letters and digits one by one: Java tests a set of single characters with one look at a bit table, ranges one after another.
+_ALNUM = string.ascii_letters + string.digits
 #: Where a tag may change the section or the emphasis.
 _EVENTS = r"(?=<title|</title|<body|</?b>|</?h[1-6]>)"
-#: At the start of a word: the phrase; at a character of another script: the gram.
-_START = rf"(?=((?<![{_ALNUM}])[{_ALNUM}][{_ALNUM} .]{{0,{TERM_BYTES - 1}}}|[^\x00-\x7F][^\x00-/:-@\[-`{{-\x7F]{{0,{GRAM_BYTES - 1}}}))"
+#: At the start of a word the phrase, at a character of another script the gram (group 1); the search goes on after the word or character.
+_START = rf"(?s)(?=([{_ALNUM}][{_ALNUM} .]{{0,{TERM_BYTES - 1}}}|[^\x00-\x7F][^\x00-/:-@\[-`{{-\x7F]{{0,{GRAM_BYTES - 1}}}))(?:[{_ALNUM}]+|.)"
+_LONG = rf"(?<![{_ALNUM}])[{_ALNUM}]{{{TERM_BYTES + 1}}}"
 
 
 def _plain(p: Column) -> Column:
@@ -49,8 +53,8 @@ def phrases(text: Column) -> Column:
 
     A run of separators counts as its last character. Words of over 24 letters and digits go in parts of 24.
     """
-    t = F.regexp_replace(text, r"[ .]*([ .])", "$1")
-    t = F.regexp_replace(t, rf"([{_ALNUM}]{{{TERM_BYTES}}})", "$1\u0001")
+    t = F.regexp_replace(text, r"[ .]+([ .])", "$1")
+    t = F.when(text.rlike(_LONG), F.regexp_replace(t, rf"([{_ALNUM}]{{{TERM_BYTES}}})", "$1\u0001")).otherwise(t)
     return F.transform(F.regexp_extract_all(t, F.lit(_START), F.lit(1)), _cut)
 
 
