@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 from collections import defaultdict
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import frontier, index, kvlog, pagerank, sorting
 from webloom.operators import search as S
+from webloom.plans import crawling
 from webloom.sources import tables
 from webloom.streaming import crawl
 
@@ -206,3 +208,32 @@ def test_url_lists(spark, tmp_path):
     tables.append_url_list(spark.createDataFrame([("a.com",), ("b.com",)], "url string"), f"{tmp_path}/urls")
     tables.append_url_list(spark.createDataFrame([("c.com",)], "url string"), f"{tmp_path}/urls")
     assert sorted(r.url for r in tables.url_list(spark, f"{tmp_path}/urls").collect()) == ["a.com", "b.com", "c.com"]
+
+
+def test_crawl_follows_links_from_seeds(spark):
+    link = lambda *us: "".join(f'<a href="http://{u}/">' for u in us)
+    rows = [(1, "http://aa.com/", link("bb.com", "cc.com", "gone.com")), (2, "http://bb.com", link("aa.com", "dd.com")), (3, "http://cc.com", link("cc.com")), (4, "http://dd.com", ""), (5, "http://island.com", "")]
+    s = tables.page_store(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    pages, left = crawling.crawl(spark.createDataFrame([("http://aa.com",)], "url string"), crawling.from_pages(s), 4)
+    assert {r.url: r.round for r in pages.collect()} == {"aa.com": 1, "bb.com": 2, "cc.com": 2, "dd.com": 3}
+    assert left.count() == 0
+
+
+def test_monitor_sees_a_stream(spark, tmp_path):
+    m = crawl.Monitor()
+    spark.streams.addListener(m)
+    spark.createDataFrame([("http://a.com/x",)], "url string").write.parquet(f"{tmp_path}/u")
+    run(crawl.admitted(spark.readStream.schema("url string").parquet(f"{tmp_path}/u")), f"{tmp_path}/o", f"{tmp_path}/s")
+    for _ in range(50):
+        if any(x.get("state_rows") == 1 for x in m.last.values()):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(m)
+    assert any(x.get("state_rows") == 1 for x in m.last.values())
+
+
+@pytest.mark.parametrize("codec", ["zstd", "snappy", "gzip"])
+def test_stored_pages_come_back_whole(spark, sf, tmp_path, codec):
+    p = tables.read(spark, sf, "pages")
+    p.write.option("compression", codec).parquet(f"{tmp_path}/p")
+    assert sorted(spark.read.parquet(f"{tmp_path}/p").collect()) == sorted(p.collect())

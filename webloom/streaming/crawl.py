@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webloom.operators.frontier import DELAY_S, PARTITIONS, prepared
@@ -43,3 +44,20 @@ def polite(visits: DataFrame, delay: int = DELAY_S) -> DataFrame:
 def host_metrics(fetches: DataFrame) -> DataFrame:
     """A stream of fetches(host, ok, ms, bytes) -> counts, failures, mean time and bytes by host."""
     return fetches.groupBy("host").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed"), F.avg("ms").alias("mean_ms"), F.sum("bytes").alias("bytes"))
+
+
+class Monitor(StreamingQueryListener):
+    """Keeps the last progress of each stream: rows in and out a second, rows of state."""
+
+    def __init__(self):
+        self.last: dict[str, dict] = {}
+
+    def onQueryStarted(self, event):
+        self.last[str(event.id)] = {}
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.last[str(p.id)] = {"batch": p.batchId, "in_per_s": p.inputRowsPerSecond, "done_per_s": p.processedRowsPerSecond, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)}
+
+    def onQueryTerminated(self, event):
+        pass
