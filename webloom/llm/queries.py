@@ -12,7 +12,7 @@ from webloom.llm.pack import op8_pack
 from webloom.llm.quality import op4_quality
 from webloom.llm.simhash import op3_simhash
 from webloom.llm.spotsigs import op2_spotsigs
-from webloom.llm.warc import op6_warc
+from webloom.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_mix": op1_mix,
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_chat": op10_chat,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mix": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op1_mix": OP1_SQL, "op6_warc": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op10_chat": OP10_SQL}

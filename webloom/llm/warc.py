@@ -240,3 +240,14 @@ def op6_warc(spark, sf_dir):
     folder = fresh_path(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(spark, folder, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_FIVE = "(('0x' || substr(h, 5 * k + 1, 5))::INTEGER >> {}) & 31"
+_BASE32 = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[({_FIVE.format(s)}) + 1]" for s in (15, 10, 5, 0))
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda k: {_BASE32}), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
