@@ -173,7 +173,7 @@ def _number_below(cuts: list[int], k):
         return F.lit(0)
     m = math.isqrt(len(cuts) - 1) + 1
     chunks = [cuts[i : i + m] for i in range(0, len(cuts), m)]
-    array = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    array = lambda x: F.lit(np.array(x, np.int64))  # noqa: E731  one literal
     i = F.size(F.filter(array([c[-1] for c in chunks]), lambda c: c < k))
     return F.least(i * m, F.lit(len(cuts))) + F.size(F.filter(F.coalesce(F.get(F.array(*map(array, chunks)), i), array([])), lambda c: c < k))
 
@@ -187,8 +187,7 @@ def compared_to_next(df: DataFrame, text: str = "text", id: str = "doc_id") -> D
     Null text is empty. A single row is its own next. Empty table: no rows.
     """
     kind = df.schema[id].dataType.simpleString()
-    low = -(1 << 63)
-    rows = df.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(low)))
+    rows = df.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))))
     n = rows.count()
     schema = f"`id` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     parts = int(min(MOST_PARTS, max(1, n // ROWS_A_PART, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
@@ -197,12 +196,10 @@ def compared_to_next(df: DataFrame, text: str = "text", id: str = "doc_id") -> D
     firsts = sorted(tuple(r) for r in rows.select("k", part.alias("part")).groupBy("part").agg(F.min("k")).collect())  # a row for each range
     if not firsts:
         return df.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id)
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
+    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
     order = F.xxhash64("text")
-    to = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("k")].cast("int")
-    pushed = F.col(id).isin([k for k in before if k != low]) | (F.col(id).isNull() if low in before else F.lit(False))
-    heads = df.where(pushed).select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(low)))
-    heads = heads.select(to.alias("part"), "k", "id", "text", F.lit(True).alias("head"))
+    edge = F.broadcast(df.sparkSession.createDataFrame(before, "k long, part int"))  # MOST_PARTS rows at most
+    heads = rows.join(edge, "k").select("part", "k", "id", "text", F.lit(True).alias("head"))
     all_ = rows.select(part.cast("int").alias("part"), "k", "id", "text", F.lit(False).alias("head")).union(heads)
     dealt = all_.repartitionById(parts, "part").sortWithinPartitions("part", "head", "k", order, "text")
     return dealt.mapInArrow(_passed, schema).withColumnRenamed("id", id)
