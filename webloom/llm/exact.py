@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import drop_path, fresh_path, small, string_of, written
 
-#: Small write buffers: one store for each shuffle partition is open at a time.
+#: Small write buffers and no disk space set aside in advance: one store for each shuffle partition is open at a time.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
