@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import bf16
-from webloom.functions.tokens import MAX_WORDS, page_tokens, small_word
+from webloom.functions.tokens import page_tokens, small_word
 
 
-def tokens_by_page(store: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """All tokens, partitioned by page. It is the pages that are shuffled, not their tokens, which have ten times the size;
+def tokens_by_page(store: DataFrame, max_words: int | None = None, last_position: int | None = None) -> DataFrame:
+    """All tokens, or those within the limits given (see page_tokens), partitioned by page. It is the pages that are shuffled, not their tokens, which have ten times the size;
     windows and groups by page that follow need no other exchange. The number of partitions is given, as adaptive execution
     would merge small ones, while tokens take far more time than their pages' size tells."""
     n = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return page_tokens(store.select("page_index", "url", "html").repartition(n, "page_index"), max_words)
+    return page_tokens(store.select("page_index", "url", "html").repartition(n, "page_index"), max_words, last_position)
 
 
 def page_terms(tokens: DataFrame, normalizer: str = "reset") -> DataFrame:
@@ -41,9 +41,9 @@ def page_terms(tokens: DataFrame, normalizer: str = "reset") -> DataFrame:
     return g.select("page_index", "term", F.col("stored").alias("weight"), F.coalesce("above", "at").alias("position"), "total")
 
 
-def main_dictionary(store: DataFrame, ranks: DataFrame | None = None, max_words: int = MAX_WORDS, normalizer: str = "reset") -> DataFrame:
+def main_dictionary(store: DataFrame, ranks: DataFrame | None = None, max_words: int | None = None, normalizer: str = "reset", last_position: int | None = None) -> DataFrame:
     """page_store [, ranks(node = page_key, rank)] -> postings (term, rank, page_index, position); pages without a rank have 1."""
-    terms = page_terms(tokens_by_page(store, max_words), normalizer)
+    terms = page_terms(tokens_by_page(store, max_words, last_position), normalizer)
     if ranks is None:
         terms = terms.withColumn("page_rank", F.lit(1.0))
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
+from webloom.functions import tokens as T
 from webloom.functions import urls as U
 from webloom.operators import frontier, index, kvlog, pagerank, sorting
 from webloom.operators import search as S
@@ -16,11 +17,17 @@ from webloom.sources.tables import document_store, page_store, read
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+#: The reference's limits of a page (operators 46 and 48), which are part of the SQL of the index and search queries.
+LIMITS = {"max_words": T.MAX_WORDS, "last_position": T.LAST_POSITION}
 
-def query(sql: str | None):
-    """Registers a function under its name, with its SQL."""
+
+def query(sql: str | None, whole: bool = False):
+    """Registers a function under its name, with its SQL. whole: one with LIMITS also as name_whole, without any."""
 
     def put(f):
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, {})
+            ORACLES[f"{f.__name__}_whole"] = sql.replace(O.TOKENS, O.WHOLE_TOKENS)
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = sql
@@ -172,57 +179,57 @@ def rank_stats(spark, d):
 # --- tokens and index -------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {O.STORE}, {O.TOKENS} SELECT page_index, position, term, round(weight, 9) AS weight FROM tokens")
-def page_token_weights(spark, d):
-    """Every token of every page."""
-    return index.tokens_by_page(_store(spark, d)).select("page_index", "position", "term", F.round("weight", 9).alias("weight"))
+@query(f"WITH {O.STORE}, {O.TOKENS} SELECT page_index, position, term, round(weight, 9) AS weight FROM tokens", whole=True)
+def page_token_weights(spark, d, limits=LIMITS):
+    """The tokens of every page within the reference's limits; page_token_weights_whole has all of them."""
+    return index.tokens_by_page(_store(spark, d), **limits).select("page_index", "position", "term", F.round("weight", 9).alias("weight"))
 
 
-@query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms()} SELECT page_index, term, round(weight, 9) AS weight, position, round(total, 6) AS total FROM terms")
-def phrase_weights(spark, d):
-    """Every term of every page with its stored weight and position, and the page's normaliser."""
-    return index.page_terms(index.tokens_by_page(_store(spark, d))).select("page_index", "term", F.round("weight", 9).alias("weight"), "position", F.round("total", 6).alias("total"))
+@query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms()} SELECT page_index, term, round(weight, 9) AS weight, position, round(total, 6) AS total FROM terms", whole=True)
+def phrase_weights(spark, d, limits=LIMITS):
+    """Every term of every page (within the limits, if any) with its stored weight and position, and the page's normaliser."""
+    return index.page_terms(index.tokens_by_page(_store(spark, d), **limits)).select("page_index", "term", F.round("weight", 9).alias("weight"), "position", F.round("total", 6).alias("total"))
 
 
-@query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms()}, {O.MAIN} SELECT term, round(rank, 9) AS rank, page_index, position FROM main_dict")
-def posting_normalised(spark, d):
-    return index.main_dictionary(_store(spark, d)).withColumn("rank", F.round("rank", 9))
+@query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms()}, {O.MAIN} SELECT term, round(rank, 9) AS rank, page_index, position FROM main_dict", whole=True)
+def posting_normalised(spark, d, limits=LIMITS):
+    return index.main_dictionary(_store(spark, d), **limits).withColumn("rank", F.round("rank", 9))
 
 
-@query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms('sum')}, {O.MAIN} SELECT term, round(rank, 9) AS rank, page_index, position FROM main_dict")
-def posting_sum(spark, d):
+@query(f"WITH {O.STORE}, {O.TOKENS}, {O.terms('sum')}, {O.MAIN} SELECT term, round(rank, 9) AS rank, page_index, position FROM main_dict", whole=True)
+def posting_sum(spark, d, limits=LIMITS):
     """With the plain sum as normaliser."""
-    return index.main_dictionary(_store(spark, d), normalizer="sum").withColumn("rank", F.round("rank", 9))
+    return index.main_dictionary(_store(spark, d), normalizer="sum", **limits).withColumn("rank", F.round("rank", 9))
 
 
-@query(f"WITH {O.STORE}, {O.INDEX} SELECT term, round(rank, 9) AS rank, page_index, position FROM small_dict")
-def dict_small(spark, d):
-    return index.small_dictionary(index.main_dictionary(_store(spark, d))).withColumn("rank", F.round("rank", 9))
+@query(f"WITH {O.STORE}, {O.INDEX} SELECT term, round(rank, 9) AS rank, page_index, position FROM small_dict", whole=True)
+def dict_small(spark, d, limits=LIMITS):
+    return index.small_dictionary(index.main_dictionary(_store(spark, d), **limits)).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"""WITH {O.STORE}, {O.INDEX}, per AS (SELECT page_index, count(*) AS n, count(*) FILTER (WHERE ord(term) > 127) AS other FROM main_dict GROUP BY page_index)
-SELECT sum(n)::BIGINT AS words, sum(other)::BIGINT AS other_words, count(*) AS pages, max(n) AS most_words, (SELECT count(*) FROM small_dict) AS small_words FROM per""")
-def dict_stats(spark, d):
-    m = index.main_dictionary(_store(spark, d))
+SELECT sum(n)::BIGINT AS words, sum(other)::BIGINT AS other_words, count(*) AS pages, max(n) AS most_words, (SELECT count(*) FROM small_dict) AS small_words FROM per""", whole=True)
+def dict_stats(spark, d, limits=LIMITS):
+    m = index.main_dictionary(_store(spark, d), **limits)
     return index.statistics(m, index.small_dictionary(m))
 
 
-@query(f"WITH {O.STORE}, {O.INDEX} SELECT term, page_index, position, round(rank, 9) AS rank FROM small_dict WHERE term = 'that'")
-def term_exact(spark, d):
-    m = index.main_dictionary(_store(spark, d))
+@query(f"WITH {O.STORE}, {O.INDEX} SELECT term, page_index, position, round(rank, 9) AS rank FROM small_dict WHERE term = 'that'", whole=True)
+def term_exact(spark, d, limits=LIMITS):
+    m = index.main_dictionary(_store(spark, d), **limits)
     return index.small_dictionary(m).where("term = 'that'").select("term", "page_index", "position", F.round("rank", 9).alias("rank"))
 
 
-@query(f"WITH {O.STORE}, {O.INDEX} SELECT term, page_index, position, round(rank, 9) AS rank FROM main_dict WHERE starts_with(term, 'in the') AND NOT regexp_matches(substr(term, 7, 1), '[A-Za-z]')")
-def term_prefix(spark, d):
-    return index.main_dictionary(_store(spark, d)).where(S.in_main("in the")).select("term", "page_index", "position", F.round("rank", 9).alias("rank"))
+@query(f"WITH {O.STORE}, {O.INDEX} SELECT term, page_index, position, round(rank, 9) AS rank FROM main_dict WHERE starts_with(term, 'in the') AND NOT regexp_matches(substr(term, 7, 1), '[A-Za-z]')", whole=True)
+def term_prefix(spark, d, limits=LIMITS):
+    return index.main_dictionary(_store(spark, d), **limits).where(S.in_main("in the")).select("term", "page_index", "position", F.round("rank", 9).alias("rank"))
 
 
 @query(f"""WITH {O.STORE}, {O.INDEX} SELECT term, page_index, position, round(rank, 9) AS rank FROM (
-  SELECT *, row_number() OVER (ORDER BY term DESC, rank DESC, page_index DESC) AS k FROM main_dict WHERE starts_with(term, 'in the') AND NOT regexp_matches(substr(term, 7, 1), '[A-Za-z]')) WHERE k <= 3""")
-def term_tail(spark, d):
+  SELECT *, row_number() OVER (ORDER BY term DESC, rank DESC, page_index DESC) AS k FROM main_dict WHERE starts_with(term, 'in the') AND NOT regexp_matches(substr(term, 7, 1), '[A-Za-z]')) WHERE k <= 3""", whole=True)
+def term_tail(spark, d, limits=LIMITS):
     """The best three postings of a term's range (the option to read no more)."""
-    m = index.main_dictionary(_store(spark, d))
+    m = index.main_dictionary(_store(spark, d), **limits)
     found = S.matches(m, m.where("false"), ["in the"], 3)
     return found.select("term", "page_index", "position", F.round("rank", 9).alias("rank"))
 
@@ -230,42 +237,42 @@ def term_tail(spark, d):
 # --- search -------------------------------------------------------------------------------------------------------------------
 
 
-def _search(spark, d, text: str, options: S.SearchOptions = S.SearchOptions(), store=None) -> DataFrame:
+def _search(spark, d, text: str, limits: dict, options: S.SearchOptions = S.SearchOptions(), store=None) -> DataFrame:
     store = _store(spark, d) if store is None else store
-    m = index.main_dictionary(store).persist(StorageLevel.MEMORY_AND_DISK)  # read once for each term; built again if an executor is lost
+    m = index.main_dictionary(store, **limits).persist(StorageLevel.MEMORY_AND_DISK)  # read once for each term; built again if an executor is lost
     out = S.search(store, m, index.small_dictionary(m), text, options)
     return out.select("page_index", F.round("score", 9).alias("score"), "url", "host", "host_pages")
 
 
-@query(O.search(["that"]))
-def search_and_1(spark, d):
-    return _search(spark, d, "that")
+@query(O.search(["that"]), whole=True)
+def search_and_1(spark, d, limits=LIMITS):
+    return _search(spark, d, "that", limits)
 
 
-@query(O.search(["that", "with"]))
-def search_and_2(spark, d):
-    return _search(spark, d, "that with")
+@query(O.search(["that", "with"]), whole=True)
+def search_and_2(spark, d, limits=LIMITS):
+    return _search(spark, d, "that with", limits)
 
 
-@query(O.search(["the", "and", "that"]))
-def search_and_3(spark, d):
-    return _search(spark, d, "the and that")
+@query(O.search(["the", "and", "that"]), whole=True)
+def search_and_3(spark, d, limits=LIMITS):
+    return _search(spark, d, "the and that", limits)
 
 
-@query(O.search(["in the", "and"]))
-def search_phrase(spark, d):
+@query(O.search(["in the", "and"]), whole=True)
+def search_phrase(spark, d, limits=LIMITS):
     """A phrase in quotes and a word."""
-    return _search(spark, d, '"in the" and')
+    return _search(spark, d, '"in the" and', limits)
 
 
-@query(O.search(["the", "that"], merge=False, show=20))
-def search_no_merge(spark, d):
-    return _search(spark, d, "the that", S.SearchOptions(merge_hosts=False, max_show=20))
+@query(O.search(["the", "that"], merge=False, show=20), whole=True)
+def search_no_merge(spark, d, limits=LIMITS):
+    return _search(spark, d, "the that", limits, S.SearchOptions(merge_hosts=False, max_show=20))
 
 
-@query(O.search(["the", "from"], store=O.DOCUMENTS))
-def search_documents(spark, d):
-    return _search(spark, d, "the from", store=document_store(read(spark, d, "documents")))
+@query(O.search(["the", "from"], store=O.DOCUMENTS), whole=True)
+def search_documents(spark, d, limits=LIMITS):
+    return _search(spark, d, "the from", limits, store=document_store(read(spark, d, "documents")))
 
 
 # --- frontier, log, visits ------------------------------------------------------------------------------------------------------

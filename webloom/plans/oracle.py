@@ -130,6 +130,11 @@ tokens AS (
   SELECT page_index, position::INTEGER AS position, term, w * pow({T.DECAY}::DOUBLE, n) AS weight FROM counted c
   WHERE distinct_so_far < {T.MAX_WORDS} OR (distinct_so_far = {T.MAX_WORDS} AND occurrence = 1))"""
 
+#: The same without limits: all of every text.
+WHOLE_TOKENS = f"""{TOKENS.partition("passed AS (")[0]}passed AS (
+  SELECT *, row_number() OVER (PARTITION BY page_index ORDER BY position) - 1 AS n FROM placed WHERE NOT ({_STOP})),
+tokens AS (SELECT page_index, position::INTEGER AS position, term, w * pow({T.DECAY}::DOUBLE, n) AS weight FROM passed)"""
+
 
 def terms(normalizer: str = "reset") -> str:
     """From tokens: terms(page_index, term, weight, position, total)."""
