@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import lines, mix, pack, quality, simhash
+from webloom.llm import lines, mix, near, pack, quality, simhash
 from webloom.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the least id."""
-    return simhash.one_of_each(_documents(docs))
+    """One document of each SimHash component (as op3), then one of each component of five-word similarity 0.8 or more: the one with the least id."""
+    return near.one_of_each(written(simhash.one_of_each(_documents(docs)), "near-first"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,11 +73,11 @@ def _hashed(lines: list[str], k: int = SHINGLE):
         at = end
 
 
-def bands_of(lines: list[str], k: int = SHINGLE) -> np.ndarray:
+def bands_of(lines: list[str], k: int = SHINGLE, hashed=_hashed) -> np.ndarray:
     """(line, band) hashes. An empty bin takes the value of the first bin that isn't empty in a fixed random order of its own."""
     n, bins = len(lines), BANDS * ROWS
     low = np.full(n * bins, np.iinfo(np.uint64).max, np.uint64)
-    for at, h, owner, _ in _hashed(lines, k):
+    for at, h, owner, _ in hashed(lines, k):
         slot = (owner + at) * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(low, slot, h & np.uint64(0xFFFFFFFF))
     low = low.reshape(n, bins)
@@ -96,10 +96,10 @@ def bands_of(lines: list[str], k: int = SHINGLE) -> np.ndarray:
     return out.view(np.int64)
 
 
-def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(lines: list[str], k: int = SHINGLE, hashed=_hashed) -> list[np.ndarray]:
     """Each line's set of shingles, as sorted 64-bit hashes."""
     out = []
-    for _, h, owner, count in _hashed(lines, k):
+    for _, h, owner, count in hashed(lines, k):
         ends = np.cumsum(count)
         for s, e in zip((ends - count).tolist(), ends.tolist(), strict=True):
             h[s:e].sort()
@@ -162,27 +162,33 @@ def _occurrences(batches):
         yield _batch(["line", "id", "dk", "no"], pa.array(ids, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(nos, pa.int32()))
 
 
-def _distinct_lines(batches):
-    """The lines of a few texts at a time, once each."""
+def _distinct_lines(batches, units=lines_of):
+    """The lines (or other units) of a few texts at a time, once each."""
     for b in sliced(batches, 1024):
         found = {}
         for text in b.column(0).to_pylist():
-            for _, line in lines_of(text):
+            for _, line in units(text):
                 found.setdefault(line_id(line), line)
         yield found
 
 
-def _bands(batches):
-    for found in _distinct_lines(batches):
-        ids, lines = np.fromiter(found, np.int64, len(found)), list(found.values())
-        for i in range(0, len(lines), 4096):
-            band = bands_of(lines[i : i + 4096])
-            yield _batch(["band", "line"], pa.array(band.ravel()), pa.array(np.repeat(ids[i : i + 4096], BANDS)))
+def _bands(units, k: int, hashed):
+    def run(batches):
+        for found in _distinct_lines(batches, units):
+            ids, lines = np.fromiter(found, np.int64, len(found)), list(found.values())
+            for i in range(0, len(lines), 4096):
+                band = bands_of(lines[i : i + 4096], k, hashed)
+                yield _batch(["band", "line"], pa.array(band.ravel()), pa.array(np.repeat(ids[i : i + 4096], BANDS)))
+
+    return run
 
 
-def _texts(batches):
-    for found in _distinct_lines(batches):
-        yield _batch(["line", "text"], pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string()))
+def _texts(units):
+    def run(batches):
+        for found in _distinct_lines(batches, units):
+            yield _batch(["line", "text"], pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string()))
+
+    return run
 
 
 def _groups(batches, columns: int):
@@ -241,7 +247,7 @@ def _paired(batches):
             yield _batch(["a", "b", "large"], pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(large, pa.int64()))
 
 
-def _verified(least: float):
+def _verified(least: float, k: int = SHINGLE, hashed=_hashed):
     """Rows (a, b, text of a, text of b) -> the pairs that are alike."""
 
     def run(batches):
@@ -253,14 +259,14 @@ def _verified(least: float):
             if held > 4_000_000:
                 kept, held = {}, 0
                 new = dict(zip(a, ta, strict=True)) | dict(zip(c, tc, strict=True))
-            kept.update(zip(new, shingle_sets(list(new.values())), strict=True))
+            kept.update(zip(new, shingle_sets(list(new.values()), k, hashed), strict=True))
             held += sum(map(len, new.values()))
             yield b.filter(pa.array([alike(kept[x], kept[y], least) for x, y in zip(a, c, strict=True)])).select(["a", "b"])
 
     return run
 
 
-def _compared(least: float):
+def _compared(least: float, k: int = SHINGLE, hashed=_hashed):
     """Rows (g, line, root, text) sorted by g -> links between lines of different roots."""
 
     def run(batches):
@@ -271,7 +277,7 @@ def _compared(least: float):
                 own = root[s:e]
                 if e - s < 2 or (own == own[0]).all():
                     continue
-                i, j = all_alike(shingle_sets(list(text[s:e])), least)
+                i, j = all_alike(shingle_sets(list(text[s:e]), k, hashed), least)
                 apart = own[i] != own[j]
                 out.append(forest(own[i[apart]], own[j[apart]]))
             if out:
@@ -281,17 +287,17 @@ def _compared(least: float):
     return run
 
 
-def links(docs: DataFrame, text: str, least: float) -> DataFrame:
-    """(node, root) of lines that are like others (see components.connected)."""
+def links(docs: DataFrame, text: str, least: float, units=lines_of, k: int = SHINGLE, hashed=_hashed) -> DataFrame:
+    """(node, root) of lines that are like others (see components.connected). units, k, hashed: what a text's lines and their shingles are."""
     scan = docs.select(text)
-    rows = scan.mapInArrow(_bands, "band long, line long")
+    rows = scan.mapInArrow(_bands(units, k, hashed), "band long, line long")
     pairs = written(rows.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_paired, "a long, b long, large long"), "lines-pairs")
     once = pairs.select("a", "b").where("a <> b").distinct()
     wanted = written(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "lines-wanted")
-    texts = scan.mapInArrow(_texts, "line long, text string").join(small(wanted, MOST_ROWS), "line", "left_semi")
+    texts = scan.mapInArrow(_texts(units), "line long, text string").join(small(wanted, MOST_ROWS), "line", "left_semi")
     texts = written(texts.repartition("line").dropDuplicates(["line"]), "lines-texts")
     found = once.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    found = written(found.mapInArrow(_verified(least), "a long, b long"), "lines-links")
+    found = written(found.mapInArrow(_verified(least, k, hashed), "a long, b long"), "lines-links")
     roots = connected(found)
     # what large bands still hold apart
     large = pairs.where("large is not null").select("large", F.col("a").alias("line")).distinct()
@@ -303,7 +309,7 @@ def links(docs: DataFrame, text: str, least: float) -> DataFrame:
     own = F.pmod(F.xxhash64("line"), F.col("k")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.xxhash64("large", F.least(t, own), F.greatest(t, own)))
     tiles = left.select(F.explode(pair).alias("g"), "line", "root").join(texts, "line").select("g", "line", "root", "text")
-    more = tiles.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least), "a long, b long")
+    more = tiles.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least, k, hashed), "a long, b long")
     return connected(written(roots.toDF("a", "b").union(more), "lines-all"))
 
 
