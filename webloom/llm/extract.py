@@ -56,14 +56,22 @@ def _end_of(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+
+
 def _never(name: str, attrs: str, in_article: bool) -> bool:
     """Whether an element can't be content."""
     if name in NEVER or (name == "header" and not in_article):
         return True
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+    found = _attributes(attrs)
+    if _hidden(found):
         return True
     if found.get("role", "").lower() in ROLES:
         return True
@@ -78,24 +86,37 @@ def _never(name: str, attrs: str, in_article: bool) -> bool:
 def items(page: str):
     """The page in order: (kind, block number, text or None, in an article, in a link, marked) of every run of words and every tag.
 
-    kind: "word" (a run of text), "never" (a whole element that can't be content), or a tag's name.
+    kind: "word" (a run of text), "never" (a whole element that can't be content), or a tag's name. A form, or an element that
+    can't be content but isn't closed, is a plain container if it holds an article, a main or most of the page's words; its controls aren't content.
     """
-    out, stack, at, block = [], [], 0, 0  # stack: (name, never, article, link, marked)
-    never = article = link = marked = 0
+    out, plain = _scanned(page, frozenset())
+    return _scanned(page, plain)[0] if plain else out
+
+
+def _scanned(page: str, plain: frozenset[int]):
+    """The items with the elements that begin at plain as plain containers, and where those begin that should be."""
+    out, stack, at, block = [], [], 0, 0  # stack: (name, never, article, link, marked, where it may be plain or None, words and articles before it, in an article)
+    never = article = link = marked = words = articles = 0
+    wide = []  # (where, words, holds an article, counts by its words) of forms and what isn't closed
     n = len(page)
 
-    def pop(to: int) -> None:
+    def pop(to: int, closed: bool = False) -> None:
         nonlocal never, article, link, marked
         while len(stack) > to:
-            _, a, b, c, d = stack.pop()
+            name, a, b, c, d, where, w, s, inner = stack.pop()
             never, article, link, marked = never - a, article - b, link - c, marked - d
+            if where is not None and (name == "form" or not (closed and len(stack) == to)):
+                wide.append((where, words - w, articles > s, not (name == "form" and inner)))
 
     while at < n:
         m = TAG.search(page, at)
         end = m.start() if m else n
-        if end > at and not never:
+        if end > at:
             text = page[at:end]
-            if not text.isspace():
+            words += len(text.split())
+            if never:
+                pass
+            elif not text.isspace():
                 out.append(("word", block, text, article > 0, link > 0, marked > 0))
             else:
                 out.append(("blank", block, text, article > 0, link > 0, marked > 0))
@@ -113,7 +134,7 @@ def items(page: str):
             if name in NESTED:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        pop(i)
+                        pop(i, True)
                         break
             if not was[0]:
                 out.append((name, block, None, *was[1:]))
@@ -138,16 +159,17 @@ def items(page: str):
                     break
         if name == "br" and not never:
             out.append(("blank", block, " ", article > 0, link > 0, marked > 0))
+        bad = m.start() not in plain and _never(name, attrs, article > 0)
         if not never:
-            bad = _never(name, attrs, article > 0)
             out.append(("never" if bad else name, block, None, article > 0, link > 0, marked > 0 or "data-main" in attrs))
-        else:
-            bad = False
         if name in NESTED and not attrs.endswith("/") and name not in VOID:
-            new = (name, int(bad), int(name in ("article", "main")), int(name == "a"), int("data-main" in attrs))
+            where = m.start() if bad and not _hidden(_attributes(attrs)) else None
+            new = (name, int(bad), int(name in ("article", "main")), int(name == "a"), int("data-main" in attrs), where, words, articles, article > 0)
             stack.append(new)
+            articles += new[2] and not bad
             never, article, link, marked = never + new[1], article + new[2], link + new[3], marked + new[4]
-    return out
+    pop(0)
+    return out, frozenset(where for where, w, holds, by_words in wide if holds or (by_words and 2 * w > words))
 
 
 def _kinds(found) -> list[tuple[str, int]]:
