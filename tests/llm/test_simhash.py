@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -97,3 +98,49 @@ def test_one_of_each(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, key string")
     got = sorted(map(tuple, S.one_of_each(df).collect()), key=repr)
     assert got == sorted([(2, long, "y"), (7, "something else", "a"), (9, "more", "b"), (None, None, "c")], key=repr)
+
+
+def roots_by_hand(fps, radius):
+    root = {f: f for f in fps}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius:
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {f: top(f) for f in fps if top(f) != f}
+
+
+@pytest.mark.parametrize(("radius", "group", "large", "tile"), [(3, 64, 32, 8), (3, 10_000, 100, 16), (1, 4, 8192, 2), (5, 8, 16, 4), (3, 1, 8192, 16)])
+def test_groups_and_tiles_of_any_size(spark, radius, group, large, tile):
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in chained(500, group + radius)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    assert dict(map(tuple, S.connected(S.links(df, radius, group, large, tile)).collect())) == roots_by_hand(fps, radius)
+
+
+@pytest.mark.parametrize("n", [1, 2048, 10**5, 10**8, 10**10, 10**13])
+@pytest.mark.parametrize("radius", [0, 1, 3, 6])
+def test_a_mask_of_each_choice_of_bits(n, radius):
+    """Whatever bits two fingerprints differ in, some mask has none of them."""
+    rnd, found = random.Random(n), S.masks(n, radius)
+    for _ in range(300):
+        differ = sum(1 << b for b in rnd.sample(range(64), radius))
+        assert any(not m & differ for m in found)
+    assert len(found) <= 84 and (n > 2048) == (found != [0])
+
+
+def test_tiles_that_documents_are_compared_in(spark, sf):
+    """The links of a real table come from tiles: some pairs of tiles are compared, others skipped by their bit counts."""
+    fps = S.fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).select("fp").distinct()
+    groups = {}
+    for g, fp in S.grouped(fps, group=256).collect():
+        groups.setdefault(g, []).append(fp)
+    pairs = [near for x in groups.values() for *_, near in S.tile_pairs(np.sort(np.bitwise_count(np.array(x).view(np.uint64))).astype(np.int64), 3, 16)]
+    assert pairs.count(True) > 10 and pairs.count(False) > 10
+    assert sum(len(x) for x in groups.values()) == fps.count() * len(S.masks(fps.count(), 3, 256)) and max(map(len, groups.values())) > 64
+    assert dict(map(tuple, S.connected(S.links(fps)).collect())) == roots_by_hand(sorted(r.fp for r in fps.collect()), 3)

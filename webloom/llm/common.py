@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -72,6 +74,19 @@ def small(df: DataFrame, rows: int, weight=None) -> DataFrame:
     return F.broadcast(df) if n <= rows else df
 
 
+def spread(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, how: str = "inner", also=None, parts: int = 16) -> DataFrame:
+    """left joined with right on key, where very many rows of left may share one: right is broadcast if it was counted to have at most so many rows,
+    else each key is split in parts by a hash of left's column by, and right's rows are there for each part. also: a further condition."""
+    other = right.withColumnRenamed(key, "_key")
+    if right.count() <= rows:
+        on = F.col(key) == F.col("_key")
+        return left.join(F.broadcast(other), on if also is None else on & also, how).drop("_key")
+    left = left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    other = other.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    on = (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_of"))
+    return left.join(other, on if also is None else on & also, how).drop("_key", "_part", "_of")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,14 +1,18 @@
-"""SimHash near-duplicates: exact comparison of fingerprints in tiles.
-
-Fingerprints within the radius r of each other agree on at least one of r + 1 equal slices of their 64 bits, so the
-distinct fingerprints are dealt out by (slice, its bits), which loses no pair. What shares a slice is cut into tiles, by
-the number of set bits and then by hash where a tile would be large; pairs of tiles whose bit counts differ by more
-than r are skipped, the others are compared whole: numpy exclusive-or, then bit counts. A task yields a spanning
-forest of the links it finds, never all pairs, and union-find joins the forests.
+"""SimHash near-duplicates: tiled exact comparison of fingerprints.
+
+Distinct fingerprints are compared in tiles of TILE by numpy exclusive-or and bit counts. A group of them is sorted by the number of set
+bits and cut into tiles; pairs of tiles whose bit counts differ by more than the radius are skipped. So that the work
+grows with the input and not with its square, the fingerprints are first dealt out into groups of about GROUP: two within the radius r
+agree on m of any r + m slices of their bits, so each goes into a group for every choice of m slices, told by as many bits of
+them as make groups of that size; that loses no pair. A task yields a spanning forest of the links it finds, never all
+pairs, and union-find joins the forests.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +23,8 @@ from webloom.llm.common import sliced, small, written
 from webloom.llm.components import connected, forest
 
 SEED = 42
-BLOCK = 1024
+#: Fingerprints of a tile, of a group, and of a group from which it is spread over several tasks.
+TILE, GROUP, LARGE = 256, 2048, 8192
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
@@ -55,52 +60,54 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id", words: i
     return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, fp long")
 
 
-def _close(fp: np.ndarray, pops: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among fingerprints sorted by their bit counts, block against block."""
-    found = []
-    for i in range(0, len(fp), BLOCK):
-        for k in range(i, len(fp), BLOCK):
-            if pops[k] - pops[min(i + BLOCK, len(fp)) - 1] > radius:
-                break
-            x, y = np.nonzero(np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, k : k + BLOCK]) <= radius)
-            found.append(forest(fp[i + x].view(np.int64), fp[k + y].view(np.int64)))
-    a, b = (np.concatenate(z) for z in zip(*found, strict=True))
-    return forest(a, b)
+def tile_pairs(pops: np.ndarray, radius: int, tile: int = TILE):
+    """(start of a tile, start of another or the same, whether they must be compared) for bit counts in ascending order."""
+    for i in range(0, len(pops), tile):
+        most = pops[min(i + tile, len(pops)) - 1] + radius
+        for k in range(i, len(pops), tile):
+            yield i, k, bool(pops[k] <= most)
+
+
+def compared(fp: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among a group's fingerprints (unsigned), tile against tile."""
+    pops = np.bitwise_count(fp)
+    order = np.lexsort((fp, pops))
+    fp, pops = fp[order], pops[order].astype(np.int64)
+    found = [(np.empty(0, np.int64),) * 2]
+    for i, k, near in tile_pairs(pops, radius, tile):
+        if near:
+            x, y = np.nonzero(np.bitwise_count(fp[i : i + tile, None] ^ fp[None, k : k + tile]) <= radius)
+            off = i + x < k + y  # not with itself, nor twice
+            found.append((fp[i + x[off]].view(np.int64), fp[k + y[off]].view(np.int64)))
+            if sum(len(a) for a, _ in found) > 1 << 20:
+                found = [forest(*(np.concatenate(z) for z in zip(*found, strict=True)))]
+    return forest(*(np.concatenate(z) for z in zip(*found, strict=True)))
 
 
-def _compared(radius: int, short: int = 32):
-    """Rows (g, fp) with each g together -> links found within each g."""
+def _compared(radius: int, tile: int):
+    """Rows (g, fp) sorted by g -> links found within each g."""
 
     def one(g, fp):
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, np.bitwise_count(fp), g))
-        g, fp = g[order], fp[order]
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        sizes = np.diff(np.r_[starts, len(g)])
-        out = []
-        many = np.repeat(sizes > short, sizes)
-        sg, sf = g[~many], fp[~many]
-        for d in range(1, min(short, int(sizes[sizes <= short].max(initial=1)))):  # all short runs at once, neighbours d apart
-            near = (sg[d:] == sg[:-d]) & (np.bitwise_count(sf[d:] ^ sf[:-d]) <= radius)
-            out.append((sf[d:][near].view(np.int64), sf[:-d][near].view(np.int64)))
-        for s, n in zip(starts[sizes > short], sizes[sizes > short], strict=True):
-            run = fp[s : s + n]
-            out.append(_close(run, np.bitwise_count(run).astype(np.int64), radius))
-        a, b = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-        return forest(a, b)
+        found = [compared(x, radius, tile) for x in np.split(fp.view(np.uint64), starts[1:])]
+        return forest(*(np.concatenate(z) for z in zip(*found, strict=True)))
 
     def run(batches):
-        rest_g, rest_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = []  # parts of the last group so far
         for last, batch in _with_last(batches):
             if batch is not None:
-                rest_g = np.concatenate([rest_g, batch.column(0).to_numpy()])
-                rest_fp = np.concatenate([rest_fp, batch.column(1).to_numpy()])
-            if not len(rest_g):
-                continue
-            cut = len(rest_g) if last else int(np.searchsorted(rest_g, rest_g[-1]))  # the last group may go on
-            if cut:
-                hi, lo = one(rest_g[:cut], rest_fp[:cut])
-                rest_g, rest_fp = rest_g[cut:], rest_fp[cut:]
+                g, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if not len(g):
+                    continue
+                if held and held[0][0][0] == g[-1]:
+                    held.append((g, fp))
+                    continue
+                cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
+                whole, held = [*held, (g[:cut], fp[:cut])], [(g[cut:], fp[cut:])]
+            else:
+                whole = held
+            if whole and sum(len(g) for g, _ in whole):
+                hi, lo = one(*(np.concatenate(z) for z in zip(*whole, strict=True)))
                 if len(hi):
                     yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["a", "b"])
 
@@ -114,20 +121,38 @@ def _with_last(batches):
     yield True, None
 
 
-def links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
-    """Distinct fingerprints (fp long) -> links (a, b) that connect all of them at so many differing bits or fewer."""
-    width = 64 // (radius + 1)
-    cuts = [(j * width, width if j < radius else 64 - radius * width) for j in range(radius + 1)]
-    slices = F.array(*(F.struct(F.lit(j).alias("j"), F.shiftrightunsigned("fp", at).bitwiseAND((1 << bits) - 1 if bits < 64 else -1).alias("v")) for j, (at, bits) in enumerate(cuts)))
-    rows = fps.select("fp", F.explode(slices).alias("s")).select("fp", F.xxhash64("s.j", "s.v").alias("key"))
-    if_large = rows.groupBy("key", F.bit_count("fp").alias("pop")).count()
-    if_large = if_large.groupBy("key").agg(F.sum("count").alias("n"), F.collect_list(F.struct("pop", F.ceil(F.col("count") / tile).cast("int").alias("k"))).alias("tiles")).where(F.col("n") > tile)  # at most 65 bit counts a key
-    near = F.filter("tiles", lambda t: F.abs(t["pop"] - F.bit_count("fp")) <= radius)
-    own = F.struct(F.bit_count("fp").alias("pop"), F.pmod(F.xxhash64("fp", F.lit(7)), F.element_at(F.filter("tiles", lambda t: t["pop"] == F.bit_count("fp")), 1)["k"]).cast("int").alias("t"))
+def masks(n: int, radius: int, group: int = GROUP) -> list[int]:
+    """The bits on which a fingerprint is dealt out, for each choice of slices: as many as make groups of about group out of n. Two fingerprints within the radius agree on all bits of one mask at least."""
+    need = max(0, math.ceil(math.log2(max(1, n) / group)))
+    if not need:
+        return [0]
+    agree = next((m for m in range(1, 4) if m * (64 // (radius + m)) >= need), 3)
+    width, out = 64 // (radius + agree), []
+    bits = min(width, -(-need // agree))
+    for slices in combinations(range(radius + agree), agree):
+        out.append(sum(((1 << bits) - 1) << (j * width) for j in slices))
+    return out
+
+
+def grouped(fps: DataFrame, radius: int = 3, group: int = GROUP, large: int = LARGE) -> DataFrame:
+    """Distinct fingerprints (fp long) -> (g, fp): any two within the radius of each other share a g. A group of over large is cut by bit counts and a
+    hash, and each pair of parts whose bit counts are within the radius is a g of its own."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(fps.count(), radius, group)]
+    keys = F.array(*(F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for j, m in enumerate(signed)))
+    rows = fps.select("fp", F.explode(keys).alias("key"))
+    parts = rows.groupBy("key", F.bit_count("fp").alias("pop")).count()
+    parts = parts.groupBy("key").agg(F.sum("count").alias("n"), F.collect_list(F.struct("pop", F.ceil(F.col("count") / large).cast("int").alias("k"))).alias("parts")).where(F.col("n") > large)  # at most 65 bit counts a key
+    pop = F.bit_count("fp")
+    near = F.filter("parts", lambda t: F.abs(t["pop"] - pop) <= radius)
+    own = F.struct(pop.alias("pop"), F.pmod(F.xxhash64("fp", F.lit(7)), F.element_at(F.filter("parts", lambda t: t["pop"] == pop), 1)["k"]).cast("int").alias("t"))
     others = F.flatten(F.transform(near, lambda t: F.transform(F.sequence(F.lit(0), t["k"] - 1), lambda i: F.struct(t["pop"].alias("pop"), i.alias("t")))))
     pairs = F.transform(others, lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)))
-    dealt = rows.join(if_large.drop("n"), "key", "left").select(F.explode(F.when(F.col("tiles").isNull(), F.array("key")).otherwise(pairs)).alias("g"), "fp")
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(radius), "a long, b long")
+    return rows.join(parts.drop("n"), "key", "left").select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("g"), "fp")
+
+
+def links(fps: DataFrame, radius: int = 3, group: int = GROUP, large: int = LARGE, tile: int = TILE) -> DataFrame:
+    """Distinct fingerprints (fp long) -> links (a, b) that connect all of them at so many differing bits or fewer."""
+    return grouped(fps, radius, group, large).repartition("g").sortWithinPartitions("g").mapInArrow(_compared(radius, tile), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
