@@ -119,3 +119,57 @@ def test_odd_rows(spark):
     y = "x" + "y" * 50_000
     assert got == sorted([(1, None, 0), (2, "", 0), (3, "a\n\n b", 2), (None, "zero line of text", 0), (4, y, 1), (4, y, 1), (5, "", 2)], key=repr)
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_the_query_over_a_whole_table(spark, sf):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert {r.doc_id: r.text for r in L.op5_lines(spark, sf).collect()} == by_hand(rows)
+
+
+def test_shuffled_sides(spark, sf, monkeypatch):
+    """The way beyond the broadcast limits gives the same."""
+    monkeypatch.setattr(L, "MOST_ROWS", 0)
+    monkeypatch.setattr(L, "FEW", 2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == by_hand(rows)
+
+
+def test_numbers_that_clash(spark):
+    """Different lines of one number are told apart by the rest of their digest."""
+    rnd = random.Random(8)
+    base = [" ".join("".join(rnd.choices("abcdefghijkl", k=5)) for _ in range(12)) for _ in range(30)]
+    rows = [(i, "\n".join([b, edited(rnd, b, i % 2), rnd.choice(base), "short", f"n{i}"])) for i, b in enumerate(base)]
+    few = lambda line: (L.line_id(line)[0] % 5, L.line_id(line)[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(df, ids=few).collect()} == by_hand(rows)
+
+
+def templates(n, seed, k=24):
+    rnd = random.Random(seed)
+    return ["the account of the harbour master for the month: " + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for _ in range(n)]
+
+
+def test_lines_of_one_template(spark):
+    """Many lines that share a template but aren't alike, and some that are."""
+    lines = templates(400, 1)
+    lines += [x[:-1] + "!" for x in lines[:100]] + templates(60, 2, 7)
+    rows = [(i, x) for i, x in enumerate(lines)]
+    assert {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == by_hand(rows)
+
+
+def test_prefixes_of_alike_sets_meet():
+    rnd = random.Random(6)
+    often = np.array([rnd.randrange(1, 9) for _ in range(64)])
+    for _ in range(3000):
+        n = rnd.randrange(1, 60)
+        x = set(rnd.sample(range(200), n))
+        y = set(x)
+        for _ in range(rnd.randrange(1 + n // 5)):
+            y.discard(rnd.choice(sorted(y))) if rnd.random() < 0.5 and len(y) > 1 else y.add(rnd.randrange(200))
+        if len(x & y) < 0.8 * len(x | y):
+            continue
+        meet = []
+        for s in (x, y):
+            meet.append([(e, part, role) for xs, part, role in L.prefix(np.array(sorted(s), np.uint64), often, 0.8) for e in xs.tolist()])
+        assert any(a[:2] == b[:2] and a[2] + b[2] < 2 for a in meet[0] for b in meet[1])

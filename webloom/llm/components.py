@@ -56,7 +56,7 @@ def _state(edges: DataFrame) -> tuple:
 def connected(links: DataFrame) -> DataFrame:
     """links(a long, b long) -> (node long, root long): the least node that each node reaches.
 
-    Nodes that are the least of their component are left out, as are nodes without links. Repeated links,
+    Nodes that are the least of their component are left out, as are nodes without links. The result is a table of its own (common.dropped deletes it). Repeated links,
     links of a node to itself, and links either way round are fine; rows with a null are left out. No links: no rows.
     """
     a, b = (F.col(c).cast("long") for c in links.columns[:2])
@@ -74,4 +74,6 @@ def connected(links: DataFrame) -> DataFrame:
         dropped(edges, large)
         edges, was, state = new, state, _state(new)
         if state == was:
-            return edges.toDF("node", "root")
+            out = edges.toDF("node", "root")
+            out._webloom_path = edges._webloom_path
+            return out

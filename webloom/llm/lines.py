@@ -4,13 +4,17 @@
 2. Lines that share a band are candidates. In a band with few lines all are paired; in a large one (copies of one
    line with small changes) each is paired with the band's first line and with its neighbour, which is linear.
 3. Pairs are verified by the exact Jaccard similarity of their shingle sets, and distributed union-find joins what is alike.
-4. Large bands in which more than one component is left are compared whole: in tiles, skipping pairs that are already
-   joined. So each pair that shares a band is either verified or already connected.
+4. Lines of large bands in which more than one component is left (a template that many different lines share) meet again
+   on their rarest shingles: of a set of n only the first few in order of rarity can be where it meets another one that is alike, and only sets of
+   near lengths do. That is exact, and shingles that everybody has aren't among them. Their pairs are verified as before, and what
+   then shares a large group and is still apart is compared whole, in tiles. So each pair that shares a band is verified or already connected.
 5. Of each component the first occurrence stays; all other occurrences, exact copies too, go.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from webloom.llm.common import sliced, small, table, written
+from webloom.llm.common import dropped, sliced, small, spread, table, written
 from webloom.llm.components import connected, forest
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 14, 4, 0.8
@@ -26,6 +30,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 7, 14, 4, 0.8
 FEW = 8
 #: Large bands that are compared whole are cut into tiles of so many lines.
 TILE = 512
+#: Counters of shingles, by which their rarity goes; several shingles may share one.
+COUNTERS = 1 << 18
 #: Broadcast line ids or documents' lists of dropped lines up to this number, else join through a shuffle.
 MOST_ROWS = 1_000_000
 
@@ -137,8 +143,30 @@ def all_alike(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.nda
     return np.nonzero(np.triu(same >= least * (sizes[:, None] + sizes - same), 1))
 
 
-def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+def line_id(line: str) -> tuple[int, int]:
+    """A line's identity: a number for joins, and one more that tells lines of the same number apart; together a 128-bit digest."""
+    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
+
+
+def identified(seen: DataFrame, tag: str, *most):
+    """seen(line, check, ...) -> (seen, one row a line with its number n and the aggregates most (a table of its own), told). Where different lines share a number,
+    they get other ones; told() gives the same ones to the rows of any other table with line and check."""
+    clashes = []
+
+    def told(df: DataFrame) -> DataFrame:
+        for c in clashes:
+            df = df.join(c, "line", "left").withColumn("line", F.when(F.col("_clash"), F.xxhash64("line", "check")).otherwise(F.col("line"))).drop("_clash")
+        return df
+
+    while True:
+        now = told(seen)
+        per_line = written(now.groupBy("line").agg(F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"), *most), f"{tag}-per-line")
+        clash = per_line.where("lo <> hi").select("line", F.lit(True).alias("_clash"))
+        if not clash.take(1):
+            return now, per_line, told
+        clashes.append(small(written(clash, f"{tag}-clash"), MOST_ROWS))
+        dropped(per_line)
 
 
 def lines_of(text: str | None):
@@ -150,47 +178,137 @@ def _batch(names, *arrays):
     return pa.RecordBatch.from_arrays(list(arrays), names)
 
 
-def _occurrences(batches):
-    for b in sliced(batches):
-        ids, nos, rows = [], [], []
-        for r, text in enumerate(b.column(2).to_pylist()):
-            for no, line in lines_of(text):
-                ids.append(line_id(line))
-                nos.append(no)
-                rows.append(r)
-        at = pa.array(rows, pa.int64())
-        yield _batch(["line", "id", "dk", "no"], pa.array(ids, pa.int64()), b.column(0).take(at), b.column(1).take(at), pa.array(nos, pa.int32()))
+def _longs(values) -> pa.Array:
+    return pa.array(values, pa.int64())
 
 
-def _distinct_lines(batches, units=lines_of):
-    """The lines (or other units) of a few texts at a time, once each."""
+def _occurrences(ids):
+    def run(batches):
+        for b in sliced(batches):
+            lines, nos, rows, known = [], [], [], {}
+            for r, text in enumerate(b.column(2).to_pylist()):
+                for no, line in lines_of(text):
+                    if (i := known.get(line)) is None:
+                        i = known[line] = ids(line)
+                    lines.append(i)
+                    nos.append(no)
+                    rows.append(r)
+            at = _longs(rows)
+            yield _batch(["line", "check", "id", "dk", "no"], _longs([i for i, _ in lines]), _longs([c for _, c in lines]), b.column(0).take(at), b.column(1).take(at), pa.array(nos, pa.int32()))
+
+    return run
+
+
+def _distinct_lines(batches, units, ids):
+    """The lines (or other units) of a few texts at a time, once each: line, check, text."""
     for b in sliced(batches, 1024):
         found = {}
         for text in b.column(0).to_pylist():
             for _, line in units(text):
-                found.setdefault(line_id(line), line)
-        yield found
+                found.setdefault(line, None)
+        lines = list(found)
+        both = [ids(x) for x in lines]
+        yield np.array([i for i, _ in both], np.int64), np.array([c for _, c in both], np.int64), lines
 
 
-def _bands(units, k: int, hashed):
+def _bands(units, k: int, hashed, ids):
     def run(batches):
-        for found in _distinct_lines(batches, units):
-            ids, lines = np.fromiter(found, np.int64, len(found)), list(found.values())
+        for line, check, lines in _distinct_lines(batches, units, ids):
             for i in range(0, len(lines), 4096):
-                band = bands_of(lines[i : i + 4096], k, hashed)
-                yield _batch(["band", "line"], pa.array(band.ravel()), pa.array(np.repeat(ids[i : i + 4096], BANDS)))
+                band, part = bands_of(lines[i : i + 4096], k, hashed), slice(i, i + 4096)
+                yield _batch(["band", "line", "check"], pa.array(band.ravel()), pa.array(np.repeat(line[part], BANDS)), pa.array(np.repeat(check[part], BANDS)))
 
     return run
 
 
-def _texts(units):
+def _texts(units, ids):
     def run(batches):
-        for found in _distinct_lines(batches, units):
-            yield _batch(["line", "text"], pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string()))
+        for line, check, lines in _distinct_lines(batches, units, ids):
+            yield _batch(["line", "check", "text"], pa.array(line), pa.array(check), pa.array(lines, pa.string()))
 
     return run
 
 
+def banded(docs: DataFrame, text: str, units, k: int, hashed, ids, told) -> DataFrame:
+    """(band, line) of every line, by MinHash."""
+    return told(docs.select(text).mapInArrow(_bands(units, k, hashed, ids), "band long, line long, check long")).select("band", "line")
+
+
+def texts_of(docs: DataFrame, text: str, units, ids, told) -> DataFrame:
+    """(line, text) of every line, maybe several times."""
+    return told(docs.select(text).mapInArrow(_texts(units, ids), "line long, check long, text string")).select("line", "text")
+
+
+# --- bands of the rarest elements -----------------------------------------------------------------------------------------
+
+
+def _counted(sets_of):
+    """Rows (line, text) -> (slot, n): how many sets have an element that falls on each counter."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in sliced(batches, 1024):
+            sets = sets_of(b.column(1).to_pylist())
+            if sets:
+                total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        slots = np.flatnonzero(total)
+        yield _batch(["slot", "n"], pa.array(slots.astype(np.int32)), pa.array(total[slots]))
+
+    return run
+
+
+def prefix(s: np.ndarray, often: np.ndarray, least: float) -> list[tuple[np.ndarray, int, int]]:
+    """Where a set meets others that are alike: (elements, length class, role).
+
+    In one order of all elements, rare ones first, two sets of Jaccard similarity least or more that aren't longer than one another by more than that
+    share one of the first elements of each: of the shorter one's first n - ceil(2 least / (1 + least) n) + 1 (role 0) and of
+    the longer one's first n - ceil(least n) + 1 (role 1 beyond the others). The longer one goes to its own
+    class of lengths (powers of two) and, if a partner may be there, to the one below.
+    """
+    n = len(s)
+    if not n:
+        return []
+    s = s[np.lexsort((s, often[(s % np.uint64(len(often))).astype(np.int64)]))]
+    index, probe = n - math.ceil(2 * least / (1 + least) * n - 1e-9) + 1, n - math.ceil(least * n - 1e-9) + 1
+    own, below = n.bit_length(), math.ceil(least * n - 1e-9).bit_length()
+    out = [(s[:index], own, 0)]
+    if probe > index:
+        out.append((s[index:probe], own, 1))
+    if below < own:
+        out.append((s[:probe], below, 1))
+    return out
+
+
+def _rarest(sets_of, least: float, often):
+    """Rows (line, text) -> (band, line, role)."""
+
+    def run(batches):
+        table_ = often.value
+        for b in sliced(batches, 1024):
+            bands, lines, roles = [], [], []
+            for line, s in zip(b.column(0).to_pylist(), sets_of(b.column(1).to_pylist()), strict=True):
+                for x, part, role in prefix(s, table_, least):
+                    bands.append(_mixed(x + np.uint64(part) * _GOLD))
+                    lines.append(np.full(len(x), line, np.int64))
+                    roles.append(np.full(len(x), role, np.int8))
+            if bands:
+                yield _batch(["band", "line", "role"], *(pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in bands], lines, roles)))
+
+    return run
+
+
+def rarest(texts: DataFrame, sets_of, least: float) -> DataFrame:
+    """texts(line, text) -> (band, line, role): where the sets that sets_of makes of the texts meet. Exact: all pairs that are alike share a band."""
+    spark = texts.sparkSession
+    often = np.zeros(COUNTERS, np.int64)
+    for slot, n in texts.mapInArrow(_counted(sets_of), "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():  # a row for each counter
+        often[slot] = n
+    return texts.mapInArrow(_rarest(sets_of, least, spark.sparkContext.broadcast(often)), "band long, line long, role byte")
+
+
+# --- pairs and links ------------------------------------------------------------------------------------------------------
+
+
 def _groups(batches, columns: int):
     """Rows sorted by their first column -> (columns of the rows of whole groups), as they come; a group may be large."""
     held = None
@@ -206,34 +324,35 @@ def _groups(batches, columns: int):
 
 
 def _paired(batches):
-    """Rows (band, line) sorted -> candidate pairs (a, b), and large = the band where it has more than FEW lines (else null).
+    """Rows (band, role, line) sorted -> candidate pairs (a, b), and large = the band where it has more than FEW lines of role 0 (else null).
 
-    One pass with the band's first lines and the last one in memory, whatever the band's size. Only rows that share
-    their band with a neighbour (or may, at a batch's ends) are looked at one by one.
+    Lines of role 1 meet those of role 0 only. One pass with the band's first lines and the last one in memory, whatever the band's
+    size. Only rows that share their band with a neighbour (or may, at a batch's ends) are looked at one by one.
     """
     band, seen, last, count = None, [], None, 0
     for batch in batches:
-        gs, ls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        gs, rs, ls = (batch.column(i).to_numpy() for i in range(3))
         if not len(gs):
             continue
         next_ = gs[1:] == gs[:-1]
         some = np.r_[True, next_] | np.r_[next_, True]
         a, c, large = [], [], []
-        for g, line in zip(gs[some].tolist(), ls[some].tolist(), strict=True):
+        for g, role, line in zip(gs[some].tolist(), rs[some].tolist(), ls[some].tolist(), strict=True):
             if g != band:
-                band, seen, last, count = g, [line], line, 1
+                band, seen, last, count = g, [line] * (not role), line, 1 - role
                 continue
             if line == last:
                 continue
-            count += 1
+            count += not role
             if count <= FEW:
                 for other in seen:
                     a.append(line)
                     c.append(other)
                     large.append(None)
-                seen.append(line)
+                if not role:
+                    seen.append(line)
             else:
-                if count == FEW + 1:  # the band turns out to be large: its first lines belong to it as well
+                if not role and count == FEW + 1:  # the band turns out to be large: its first lines belong to it as well
                     for other in seen:
                         a.append(other)
                         c.append(seen[0])
@@ -244,7 +363,7 @@ def _paired(batches):
                     large.append(g)
             last = line
         if a:
-            yield _batch(["a", "b", "large"], pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(large, pa.int64()))
+            yield _batch(["a", "b", "large"], _longs(a), _longs(c), _longs(large))
 
 
 def _verified(least: float, k: int = SHINGLE, hashed=_hashed):
@@ -287,30 +406,62 @@ def _compared(least: float, k: int = SHINGLE, hashed=_hashed):
     return run
 
 
-def links(docs: DataFrame, text: str, least: float, units=lines_of, k: int = SHINGLE, hashed=_hashed) -> DataFrame:
-    """(node, root) of lines that are like others (see components.connected). units, k, hashed: what a text's lines and their shingles are."""
-    scan = docs.select(text)
-    rows = scan.mapInArrow(_bands(units, k, hashed), "band long, line long")
-    pairs = written(rows.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_paired, "a long, b long, large long"), "lines-pairs")
-    once = pairs.select("a", "b").where("a <> b").distinct()
-    wanted = written(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "lines-wanted")
-    texts = scan.mapInArrow(_texts(units), "line long, text string").join(small(wanted, MOST_ROWS), "line", "left_semi")
-    texts = written(texts.repartition("line").dropDuplicates(["line"]), "lines-texts")
-    found = once.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    found = written(found.mapInArrow(_verified(least, k, hashed), "a long, b long"), "lines-links")
-    roots = connected(found)
-    # what large bands still hold apart
+def _pairs(rows: DataFrame, tag: str) -> DataFrame:
+    """rows(band, line [, role]) -> (a, b, large), written."""
+    rows = rows.select("band", F.col("role") if "role" in rows.columns else F.lit(0).cast("byte").alias("role"), "line")
+    return written(rows.repartition("band").sortWithinPartitions("band", "role", "line").mapInArrow(_paired, "a long, b long, large long"), f"{tag}-pairs")
+
+
+def _found(pairs: DataFrame, texts: DataFrame, least: float, k: int, hashed, tag: str) -> DataFrame:
+    """The pairs (a, b) that are alike, written."""
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return written(both.mapInArrow(_verified(least, k, hashed), "a long, b long"), f"{tag}-links")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(large, line, root) of the large bands of pairs in which more than one component is left."""
     large = pairs.where("large is not null").select("large", F.col("a").alias("line")).distinct()
     large = large.join(roots.toDF("line", "root"), "line", "left").select("large", "line", F.coalesce("root", "line").alias("root"))
-    mixed = large.groupBy("large").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("large", F.ceil(F.col("n") / TILE).cast("int").alias("k"))
-    left = written(large.join(mixed, "large"), "lines-mixed")
-    if not left.take(1):
-        return roots
-    own = F.pmod(F.xxhash64("line"), F.col("k")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.xxhash64("large", F.least(t, own), F.greatest(t, own)))
-    tiles = left.select(F.explode(pair).alias("g"), "line", "root").join(texts, "line").select("g", "line", "root", "text")
-    more = tiles.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least, k, hashed), "a long, b long")
-    return connected(written(roots.toDF("a", "b").union(more), "lines-all"))
+    mixed = large.groupBy("large").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("large", "size")
+    mixed = written(mixed, "lines-mixed")
+    out = written(spread(large, mixed, "large", "line", MOST_ROWS), "lines-apart")
+    dropped(mixed)
+    return out
+
+
+def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, hashed=_hashed, tag: str = "lines") -> DataFrame:
+    """rows(band, line [, role]), texts(line, text) of those lines -> (node, root) of lines that are like others (see components.connected). hashed, k: how a text becomes a set."""
+    pairs = _pairs(rows, tag)
+    once = pairs.select("a", "b").where("a <> b").distinct()
+    wanted = written(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), f"{tag}-wanted")
+    texts = texts.join(small(wanted, MOST_ROWS), "line", "left_semi")
+    texts = written(texts.repartition("line").dropDuplicates(["line"]), f"{tag}-texts")
+    found = _found(once, texts, least, k, hashed, tag)
+    roots = connected(found)
+    if "role" not in rows.columns:  # what large bands still hold apart meets again on its rarest shingles
+        left = _apart(pairs, roots)
+        if not left.take(1):
+            dropped(pairs, wanted, texts, found, left)
+            return roots
+        part = texts.join(small(left.select("line").distinct(), MOST_ROWS), "line", "left_semi")
+        more = _pairs(rarest(part, lambda lines: shingle_sets(lines, k, hashed), least), f"{tag}-rare")
+        top = lambda c: roots.toDF(c, f"r{c}")
+        new = more.select("a", "b").where("a <> b").distinct().join(top("a"), "a", "left").join(top("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+        again = _found(new, texts, least, k, hashed, f"{tag}-rare")
+        before, roots = roots, connected(roots.toDF("a", "b").union(again))
+        dropped(pairs, again, before, left)
+        pairs = more
+    whole = _apart(pairs, roots)
+    if whole.take(1):
+        parts = F.ceil(F.col("size") / TILE).cast("int")
+        own = F.pmod(F.xxhash64("line"), parts).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.xxhash64("large", F.least(t, own), F.greatest(t, own)))
+        tiles = whole.select(F.explode(pair).alias("g"), "line", "root").join(texts, "line").select("g", "line", "root", "text")
+        rest = tiles.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least, k, hashed), "a long, b long")
+        before, roots = roots, connected(roots.toDF("a", "b").union(rest))
+        dropped(before)
+    dropped(pairs, wanted, texts, found, whole)
+    return roots
 
 
 def _without(at: int, names: list[str]):
@@ -332,28 +483,31 @@ def _without(at: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = SIMILARITY, ids=line_id) -> DataFrame:
     """Every row of docs with its lines of which an earlier one (by id, then row, then place) is a copy or alike removed.
 
     All columns of docs; text is what is left, joined by line ends; then lines_dropped int. Lines are compared without the
     white space around them; blank lines always stay. Alike: in one component of the links of Jaccard similarity least or more
     over 7-character shingles. Null text stays null; a text that loses all lines becomes empty, the row stays. Rows with the
     same id and text are one (a line that stays in one stays in all); a null id is the least. A column named
-    lines_dropped is replaced. Empty table: no rows. Lines are told apart by 64-bit hashes.
+    lines_dropped is replaced. Empty table: no rows. Lines are told apart by 128-bit digests (ids).
     """
     keyed = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("dk"), F.col(text).alias("text"))
     kind = docs.schema[id].dataType.simpleString()
-    seen = written(keyed.mapInArrow(_occurrences, f"line long, id {kind}, dk long, no int"), "lines-seen")
+    occurrences = written(keyed.mapInArrow(_occurrences(ids), f"line long, check long, id {kind}, dk long, no int"), "lines-seen")
     at = F.struct("id", "dk", "no")
-    per_line = seen.groupBy("line").agg(F.count("*").alias("n"), F.min(at).alias("first"))
-    roots = links(docs, text, least).toDF("line", "root")
+    seen, per_line, told = identified(occurrences, "lines", F.min(at).alias("first"))
+    found = links(banded(docs, text, lines_of, SHINGLE, _hashed, ids, told), texts_of(docs, text, lines_of, ids, told), least)
+    roots = found.toDF("line", "root")
     members = roots.union(roots.select("root", "root").distinct())
     known = per_line.join(members, "line", "left").where("n > 1 or root is not null").select("line", F.coalesce("root", "line").alias("root"), "first")
     known = written(known, "lines-known")
     stays = known.join(known.groupBy("root").agg(F.min("first").alias("stays")), "root").select("line", "stays")
-    stays = small(written(stays, "lines-stays"), MOST_ROWS)
-    gone = seen.join(stays, "line").where(~at.eqNullSafe(F.col("stays"))).groupBy("id", "dk").agg(F.sort_array(F.collect_set("no")).alias("gone"))
-    gone = small(written(gone, "lines-gone"), MOST_ROWS, F.size("gone") / 8 + 1).toDF("_of_id", "_of_dk", "_gone")
+    stays = written(stays, "lines-stays")
+    gone = spread(seen, stays, "line", "no", MOST_ROWS).where(~at.eqNullSafe(F.col("stays"))).groupBy("id", "dk").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    gone = written(gone, "lines-gone")
+    dropped(occurrences, per_line, found, known, stays)
+    gone = small(gone, MOST_ROWS, F.size("gone") / 8 + 1).toDF("_of_id", "_of_dk", "_gone")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     whole = whole.join(gone, F.col(f"row.`{id}`").eqNullSafe(F.col("_of_id")) & (F.xxhash64(f"row.`{text}`") == F.col("_of_dk")), "left")
     kept = [c for c in docs.columns if c != "lines_dropped"]

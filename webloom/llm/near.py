@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import sliced, small, written
-from webloom.llm.lines import MOST_ROWS, SIMILARITY, line_id, links
+from webloom.llm.common import dropped, sliced, small, written
+from webloom.llm.lines import MOST_ROWS, SIMILARITY, banded, identified, line_id, links, texts_of
 
 WORDS, SEED = 5, 42
 
@@ -33,7 +33,8 @@ def _ids(batches):
     for b in sliced(batches):
         texts = b.column(2).to_pylist()
         at = pa.array([i for i, t in enumerate(texts) if whole(t)], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([line_id(t) for t in texts if whole(t)], pa.int64()), b.column(0).take(at), b.column(1).take(at)], ["line", "id", "dk"])
+        both = [line_id(t) for t in texts if whole(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), b.column(0).take(at), b.column(1).take(at)], ["line", "check", "id", "dk"])
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -43,11 +44,16 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", least:
     Pairs are found as in lines.links and verified by the exact similarity. A null id is the least. Empty table: no rows.
     """
     kind = docs.schema[id].dataType.simpleString()
-    seen = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("dk"), F.col(text).alias("text")).mapInArrow(_ids, f"line long, id {kind}, dk long")
-    roots = links(docs, text, least, whole, WORDS, hashed_words).toDF("line", "root")
-    members = written(seen.join(roots.union(roots.select("root", "root").distinct()), "line").select("root", F.struct("id", "dk").alias("key")), "near-members")
+    seen = written(docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("dk"), F.col(text).alias("text")).mapInArrow(_ids, f"line long, check long, id {kind}, dk long"), "near-seen")
+    rows, per_line, told = identified(seen, "near")
+    found = links(banded(docs, text, whole, WORDS, hashed_words, line_id, told), texts_of(docs, text, whole, line_id, told), least, WORDS, hashed_words, "near")
+    roots = found.toDF("line", "root")
+    members = written(rows.join(roots.union(roots.select("root", "root").distinct()), "line").select("root", F.struct("id", "dk").alias("key")), "near-members")
+    dropped(seen, per_line, found)
     stays = members.groupBy("root").agg(F.min("key").alias("stays"))
-    gone = small(written(members.join(stays, "root").where(~F.col("key").eqNullSafe(F.col("stays"))).select("key").distinct(), "near-gone"), MOST_ROWS)
+    gone = written(members.join(stays, "root").where(~F.col("key").eqNullSafe(F.col("stays"))).select("key").distinct(), "near-gone")
+    dropped(members)
+    gone = small(gone, MOST_ROWS)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("of", F.struct(F.col(f"row.`{id}`").alias("id"), F.xxhash64(f"row.`{text}`").alias("dk")))
     kept = rows.join(gone, rows.of.eqNullSafe(gone.key), "left_anti")
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
