@@ -54,3 +54,30 @@ def test_odd_rows(spark):
     out = M.mix(df, epochs=2.0).collect()
     assert len({sum(r.doc_id == 1 for r in out) % 2}) == 1 and out is not None
     assert M.mix(df.limit(0)).count() == 0 and M.mix(df, weights={}).count() == sum(r.source != "big" for r in M.mix(df, weights={"big": 0.0}).collect())
+
+
+def test_odd_rows_by_hand(spark, monkeypatch):
+    """Nulls, empty texts, repeated rows and clashing names: each row as often as its id says, all columns as they were."""
+    rows = [(None, None, None, 1), (1, "", "z", 2), (1, "", "z", 2), (2, "x" * 100_000, "big", 3), (3, "yy", None, 4), (4, "é", "small", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, name long")
+    total = 100_003
+    w = {s: n**M.ALPHA for s, n in (("big", 100_000), (None, 2), ("small", 1))}
+    rate = {s: w[s] / sum(w.values()) * 2.0 * total / n for s, n in (("big", 100_000), (None, 2), ("small", 1))} | {"z": 2.0}
+    for most in (M.MOST_NUMBERS, 0):
+        monkeypatch.setattr(M, "MOST_NUMBERS", most)
+        got = Counter((r.doc_id, r.text, r.source, r.name) for r in M.mix(df, epochs=2.0).collect())
+        want = Counter()
+        for r in rows:
+            n = copies_by_hand(r[0], rate[r[2]]) if rate[r[2]] <= M.LARGEST else None
+            if n is None:
+                assert abs(got[r] - rate[r[2]]) < 6 * math.sqrt(rate[r[2]])
+                n = got[r]
+            want[r] += n
+        assert got == +want
+
+
+def test_a_rate_of_a_million(spark):
+    df = spark.createDataFrame([(i, "x", "a") for i in range(3)], "doc_id long, text string, source string")
+    out = M.mix(df, epochs=1e6).groupBy("doc_id").agg(M.F.count("*").alias("n"), M.F.max("copy").alias("last"), M.F.count_distinct("copy").alias("each")).collect()
+    assert len(out) == 3 and all(r.n == r.last == r.each and abs(r.n - 1e6) < 6e3 for r in out)
+    assert len({r.n for r in out}) == 3

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,3 +92,55 @@ def test_near_duplicates_against_all_pairs(spark):
                 root[max(a, b)] = min(a, b)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component for r in S.near_duplicates(df).collect()} == {i: top(i) for i in range(len(texts))}
+
+
+def components_by_hand(rows, least=S.SIMILARITY):
+    sets = [frozenset(S.signatures(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            u = len(sets[i] | sets[j])
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * u:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    of = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            of[top(i)] = min(d, of.get(top(i), d))
+    return Counter((d, of.get(top(i))) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_the_query_has_the_components(spark, sf, monkeypatch, most):
+    monkeypatch.setattr(S, "MOST_SETS", most)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = S.op2_spotsigs(spark, sf).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == components_by_hand(rows)
+    assert sorted(tuple(r)[:7] for r in out) == sorted(by_hand(rows))
+
+
+def test_components_of_odd_rows(spark):
+    rows = [(3, "the one thing here and the other"), (1, "the one thing here and the other"), (1, "of another kind altogether"), (None, "of another kind altogether"), (None, "alone in the world"), (7, ""), (8, None), (-2, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.component_id) for r in S.compared_to_next(df, least=0.8).collect()) == components_by_hand(rows)
+
+
+def test_many_variants_of_one_text(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(5000)}" if rnd.random() < 0.6 else "the" for _ in range(300)]
+    rows = []
+    for i in range(3000):
+        v = list(base)
+        for at in rnd.sample(range(300), rnd.randrange(1, 8)):
+            v[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    took = time.perf_counter()
+    got = S.near_duplicates(df).groupBy("component").count().collect()
+    assert max(r["count"] for r in got) > 2900 and time.perf_counter() - took < 60

@@ -93,3 +93,13 @@ def test_cut_archives_are_told():
     a = archive(b"", W.record("response", 1, "http://a", bytes(range(256)) * 20))
     with pytest.raises(W.BadArchive):
         list(W.records(io.BytesIO(a[:-9])))
+
+
+def test_a_second_attempt(spark, tmp_path):
+    """A task that is run again (or twice at once) leaves the first one's files alone; the manifest of the attempt that counts is whole."""
+    df = spark.createDataFrame([(i, f"http://e/{i}", "<p>text</p>" * i) for i in range(40)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    first, again = W.write_archives(df, folder), W.write_archives(df, folder)
+    assert not {r.name for r in first.collect()} & {r.name for r in again.collect()}
+    for m in (first, again):
+        assert sorted(r.page_id for r in W.read_archives(spark, folder, m).collect()) == list(range(40))

@@ -242,13 +242,24 @@ def texts_of(docs: DataFrame, text: str, units, ids, told) -> DataFrame:
 # --- bands of the rarest elements -----------------------------------------------------------------------------------------
 
 
+def _fresh(batches, most: int = 1_000_000):
+    """(lines, texts) of rows (line, text), a few at a time, without those that the task has had a short while ago."""
+    had: set[int] = set()
+    for b in sliced(batches, 1024):
+        new = {i: at for at, i in enumerate(b.column(0).to_pylist()) if i not in had}
+        had = set(new) if len(had) > most else had
+        had.update(new)
+        if new:
+            yield list(new), b.column(1).take(_longs(list(new.values()))).to_pylist()
+
+
 def _counted(sets_of):
     """Rows (line, text) -> (slot, n): how many sets have an element that falls on each counter."""
 
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
-        for b in sliced(batches, 1024):
-            sets = sets_of(b.column(1).to_pylist())
+        for _, texts in _fresh(batches):
+            sets = sets_of(texts)
             if sets:
                 total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         slots = np.flatnonzero(total)
@@ -284,9 +295,9 @@ def _rarest(sets_of, least: float, often):
 
     def run(batches):
         table_ = often.value
-        for b in sliced(batches, 1024):
+        for ids, texts in _fresh(batches):
             bands, lines, roles = [], [], []
-            for line, s in zip(b.column(0).to_pylist(), sets_of(b.column(1).to_pylist()), strict=True):
+            for line, s in zip(ids, sets_of(texts), strict=True):
                 for x, part, role in prefix(s, table_, least):
                     bands.append(_mixed(x + np.uint64(part) * _GOLD))
                     lines.append(np.full(len(x), line, np.int64))

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import sliced, table, written
+from webloom.llm.common import sliced, small, table, written
 
 THRESHOLD = 0.3
+#: Broadcast labels up to this number, else join them through a shuffle.
+MOST_LABELS = 1_000_000
 #: Bytes (a sixth as many words) added to a text's length, so that shares of a very short text aren't extreme.
 LEAN = 60
 FEATURES = (
@@ -122,11 +124,15 @@ def held_out(id):
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def labelled(labels: DataFrame, id: str, label: str) -> DataFrame:
+    """(id, y) of the labels that teach."""
+    return labels.select(F.col(id), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col(id)))
+
+
 def fitted(df: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> tuple[DataFrame, Model]:
     """The statistics of all rows, and the model that those with labels teach (rows held out aside)."""
     x = written(measured(df, id, text), "quality")
-    y = labels.select(F.col(id), F.col(label).alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col(id)))
-    return x, train(x.join(y, id))
+    return x, train(x.join(labelled(labels, id, label), id))
 
 
 def scores(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -149,7 +155,8 @@ def scores(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "te
 
 def accepted(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df, all columns, whose text scores threshold or more. Odd rows as in scores(); no join back by id is needed."""
-    model = fitted(df, labels, id, text, label)[1]
+    y = small(labelled(labels, id, label), MOST_LABELS)
+    model = train(measured(df.join(y.select(id).distinct(), id, "left_semi"), id, text).join(y, id))  # only what teaches is measured twice
     at = df.columns.index(text)
 
     def run(batches):

@@ -4,7 +4,8 @@ A text's fingerprint is the set of its signatures. An anchor is a common word of
 signature is the chain of the next few content words (not common ones) after it. Where no anchor comes for a number of
 words, the next word stands in for one, so texts of any language or kind get signatures and an edit stays local.
 Two fingerprints compare by the Jaccard similarity of their sets. For near-duplicates, sets are partitioned by length, so
-that only neighbouring partitions can hold a partner, and joined on their rarest signatures.
+that only neighbouring partitions can hold a partner, and meet there on the rarest of their signatures (webloom.llm.lines.prefix), which
+prunes all pairs that can't be alike; the Jaccard similarity of those left is computed, and union-find joins what is alike.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import sliced, table, written
-from webloom.llm.components import connected
+from webloom.llm.common import dropped, sliced, spread, table, written
+from webloom.llm.lines import identified, line_id, links, rarest
 
 CHAIN, GAP, SIMILARITY = 2, 8, 0.8
 #: Rows by partition of the query's ordered pass.
 ROWS_A_PART = 200_000
 MOST_PARTS = 100_000
+#: Broadcast the components of sets up to this number, else join them through a shuffle.
+MOST_SETS = 1_000_000
 
 #: Common words.
 ANCHORS = frozenset(
@@ -106,65 +109,92 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
 # --- near-duplicates ----------------------------------------------------------------------------------------------------
 
 
-def _verify(least: float):
+def _known(df: DataFrame, text: str, id: str) -> DataFrame:
+    """(id, line, check, fingerprint) of every row: the fingerprint, and the two numbers that stand for it."""
+    kind = df.schema[id].dataType.simpleString()
+
     def run(batches):
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            good = [likeness(decoded(p), decoded(q)) >= least for p, q in zip(x, y, strict=True)]
-            yield b.filter(pa.array(good)).select(["a", "b"])
+        for b in sliced(batches):
+            fps = [encoded(signatures(t)) for t in b.column(1).to_pylist()]
+            both = [line_id(f) for f in fps]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), pa.array(fps, pa.string())], [id, "line", "check", "fingerprint"])
+
+    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, line long, check long, fingerprint string")
 
-    return run
+
+def _sets(fingerprints: list[str]) -> list[np.ndarray]:
+    return [decoded(f).astype(np.uint64) for f in fingerprints]
+
+
+def _as_hashed(fingerprints: list[str], k: int):
+    """The sets in the form that webloom.llm.lines takes them in."""
+    for at, s in enumerate(_sets(fingerprints)):
+        yield at, s, np.zeros(len(s), np.int64), np.array([len(s)])
+
+
+def _components(rows: DataFrame, id: str, least: float) -> DataFrame:
+    """_known() rows, written -> the rows with component, the least id that links reach."""
+    seen, per_set, told = identified(rows.select("line", "check", id), "spotsigs", F.min(id).alias("least_id"))
+    sets = told(rows.select("line", "check", "fingerprint")).select("line", F.col("fingerprint").alias("text"))
+    roots = links(rarest(sets, _sets, least), sets, least, 0, _as_hashed, "spotsigs")
+    named = per_set.join(roots, per_set.line == roots.node, "left").select("line", "least_id", F.coalesce("root", "line").alias("root"))
+    of_root = named.groupBy("root").agg(F.min("least_id").alias("component"))
+    named = written(named.join(of_root, "root").select("line", "component"), "spotsigs-named")
+    dropped(per_set, roots)
+    return spread(told(rows.withColumn("own", F.col("line"))), named, "line", id, MOST_SETS)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """Every row's (id, fingerprint, component): component is the least id that links of likeness least or more reach.
 
-    Rows with the same fingerprint are one before the join, so copies cost nothing. A set of n signatures goes to the
-    partition of its length, floor(log n / log(1 / least)); a partner's length is within the factor least, so it is there or
-    in the next one. In a partition, sets meet on the first n - ceil(least * n) + 1 of their signatures in order of rarity.
+    Rows with the same fingerprint are one, so copies cost nothing. Sets are partitioned by length and meet in a partition, or from the next
+    one, on their rarest signatures; in a large meeting each is paired with the first and its neighbour, and only what is
+    then still apart with more (see webloom.llm.lines.links). No link between different texts is lost.
     Null ids never are a component's id unless it has no other. Empty fingerprints are one group. Empty table: no rows.
     """
-    rows = written(fingerprints(df, text, id), "spotsigs")
-    sets = rows.groupBy("fingerprint").agg(F.min(id).alias("least_id")).withColumn("set", F.xxhash64("fingerprint"))
-    sets = written(sets.withColumn("n", F.expr("length(fingerprint) div 8")), "spotsigs-sets")
-    sigs = sets.where("n > 0").select("set", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.substring("fingerprint", i * 8 + 1, F.lit(8)))).alias("sig"))
-    often = sigs.groupBy("sig").count()
-    rank = F.row_number().over(Window.partitionBy("set").orderBy("count", "sig"))
-    prefix = sigs.join(often, "sig").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    part = F.floor(F.log("n") / math.log(1 / least) + 1e-9)
-    keyed = written(prefix.select("set", "n", F.xxhash64("sig").alias("sig"), part.alias("part")), "spotsigs-prefix")
-    right = keyed.select(F.col("set").alias("b"), F.col("n").alias("m"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("at"))
-    met = keyed.join(right, (keyed.sig == right.sig) & (keyed.part == right["at"])).where("set <> b and least(n, m) >= greatest(n, m) * %r - 1e-9" % least)
-    pairs = met.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct()
-    f = sets.select("set", "fingerprint")
-    pairs = pairs.join(f.toDF("a", "fa"), "a").join(f.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
-    roots = connected(pairs.mapInArrow(_verify(least), "a long, b long"))
-    named = sets.join(roots, sets.set == roots.node, "left").select("fingerprint", "least_id", F.coalesce("root", "set").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    return rows.join(named.join(of_root, "root").select("fingerprint", "component"), "fingerprint").select(id, "fingerprint", "component")
+    return _components(written(_known(df, text, id), "spotsigs"), id, least).select(id, "fingerprint", "component")
 
 
 # --- the query's ordered pass -------------------------------------------------------------------------------------------
 
 
+NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
+
+
 def _passed(batches):
-    """Rows (part, k, id, text, head) in order of part and k -> each document with its fingerprint and those of the edited text and
-    the next document. The last row of a part is a copy of the next part's first one (head)."""
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    held = None  # (part, id, text, signatures)
+    """Rows (part, k, id, text, head, component, what) in order of part, k and what -> each document with its fingerprint and those of the edited text and
+    the next document. The last row of a part is a copy of the next part's first one (head). what: 1 a document, 0 the component of
+    those documents of this k whose fingerprint text stands for (see _key); others are their own."""
+    held = None  # (part, id, text, signatures, component)
+    told, of = {}, None  # components of documents of the k that of says
     for b in sliced(batches):
         out = []
-        for part, id_, text, head in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+        columns = [b.column(i).to_pylist() for i in (0, 1, 3, 4, 6)]
+        for part, k, text, head, what, id_, component in zip(*columns, b.column(2), b.column(5), strict=True):
+            if not head and of != (part, k):
+                told, of = {}, (part, k)
+            if not what:
+                told[text] = component.as_py()
+                continue
             sigs = None
             if held is not None and held[0] == part:
                 sigs = signatures(text)
                 edited = spliced(held[2], text)
                 es = signatures(edited)
-                out.append((held[1], len(held[2]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encoded(held[3]), encoded(es), likeness(held[3], es), likeness(held[3], sigs)))
-            held = None if head else (part, id_.as_py(), text, signatures(text) if sigs is None else sigs)
-        kinds = [b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                out.append((held[1], len(held[2]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encoded(held[3]), encoded(es), likeness(held[3], es), likeness(held[3], sigs), held[4]))
+            if head:
+                held = None
+                continue
+            sigs = signatures(text) if sigs is None else sigs
+            held = (part, id_.as_py(), text, sigs, told.get(_key(*line_id(encoded(sigs))), id_.as_py()) if told else id_.as_py())
+        kind = b.schema.field(2).type
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            kinds = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), kind]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], NAMES)
+
+
+def _key(line: int, check: int) -> str:
+    return f"{line}:{check}"
 
 
 def _number_below(cuts: list[int], k):
@@ -178,33 +208,43 @@ def _number_below(cuts: list[int], k):
     return F.least(i * m, F.lit(len(cuts))) + F.size(F.filter(F.coalesce(F.get(F.array(*map(array, chunks)), i), array([])), lambda c: c < k))
 
 
-def compared_to_next(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+def compared_to_next(df: DataFrame, text: str = "text", id: str = "doc_id", least: float | None = None) -> DataFrame:
     """Every row with its fingerprint, that of its edited text (see spliced), and its likeness to that and to the next row's.
 
-    Rows are in ascending order of id, null first, then of a hash of the text and the text; after the last comes the first. The rows
+    least: also component_id, as near_duplicates() finds it for that likeness; it comes to its rows in the same exchange.
+    Rows are in ascending order of id (a number), null first, then of a hash of the text and the text; after the last comes the first. The rows
     are dealt out once by ranges of id; each range gets a copy of the next one's first row, found from the ids alone,
     so nothing needs all rows in one task. A range is of about ROWS_A_PART ids; all rows of one id are in one.
     Null text is empty. A single row is its own next. Empty table: no rows.
     """
     kind = df.schema[id].dataType.simpleString()
-    rows = df.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))))
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    rows = df.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("k", number("id"))
     n = rows.count()
-    schema = f"`id` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"`id` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id {kind}"
+    done = lambda out: (out if least is not None else out.drop("component_id")).withColumnRenamed("id", id)
     parts = int(min(MOST_PARTS, max(1, n // ROWS_A_PART, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     cuts = sorted(set(rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] or [])) if parts > 1 and n else []
     part = _number_below(cuts, F.col("k"))
     firsts = sorted(tuple(r) for r in rows.select("k", part.alias("part")).groupBy("part").agg(F.min("k")).collect())  # a row for each range
     if not firsts:
-        return df.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id)
+        return done(df.sparkSession.createDataFrame([], schema))
     before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
     order = F.xxhash64("text")
     edge = F.broadcast(df.sparkSession.createDataFrame(before, "k long, part int"))  # MOST_PARTS rows at most
-    heads = rows.join(edge, "k").select("part", "k", "id", "text", F.lit(True).alias("head"))
-    all_ = rows.select(part.cast("int").alias("part"), "k", "id", "text", F.lit(False).alias("head")).union(heads)
-    dealt = all_.repartitionById(parts, "part").sortWithinPartitions("part", "head", "k", order, "text")
-    return dealt.mapInArrow(_passed, schema).withColumnRenamed("id", id)
+    none, document = F.lit(None).cast(kind).alias("component"), F.lit(1).cast("byte").alias("what")
+    heads = rows.join(edge, "k").select("part", "k", "id", "text", F.lit(True).alias("head"), none, document)
+    all_ = rows.select(part.cast("int").alias("part"), "k", "id", "text", F.lit(False).alias("head"), none, document).union(heads)
+    if least is not None:
+        known = written(_known(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "id"), "spotsigs")
+        told = _components(known, "id", least).where(~F.col("id").eqNullSafe(F.col("component")))
+        told = written(told.select("id", F.concat_ws(":", "own", "check").alias("text"), "component").distinct(), "spotsigs-components").withColumn("k", number("id"))
+        dropped(known)
+        all_ = all_.union(told.select(part.cast("int").alias("part"), "k", "id", "text", F.lit(False).alias("head"), "component", F.lit(0).cast("byte").alias("what")))
+    dealt = all_.repartitionById(parts, "part").sortWithinPartitions("part", "head", "k", "what", order, "text")
+    return done(dealt.mapInArrow(_passed, schema))
 
 
 def op2_spotsigs(spark, sf_dir):
-    """Every document's fingerprint, that of its edited text, and the likenesses."""
-    return compared_to_next(table(spark, sf_dir, "documents"))
+    """Every document's fingerprint, that of its edited text, the likenesses, and the component of near-duplicates it is in."""
+    return compared_to_next(table(spark, sf_dir, "documents"), least=SIMILARITY)

@@ -154,7 +154,8 @@ def _filesystem(uri: str):
 
 
 def _write(folder: str, dictionary: bytes, most: int):
-    """Rows (page_id, url, html, response) -> archives of the task, and their names. A task that is run again writes the same files."""
+    """Rows (page_id, url, html, response) -> archives of the task, and their names. Names are the attempt's own: a task that is run again writes other
+    files, and the manifest has those of the attempt that counts."""
 
     def run(batches):
         fs, root = _filesystem(folder)
@@ -164,18 +165,19 @@ def _write(folder: str, dictionary: bytes, most: int):
         zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         done = []
 
+        def name():
+            return f"{task.partitionId():06d}-{k:04d}-{task.taskAttemptId()}.warc.zst"
+
         def close():
             nonlocal out, n, k
             out.close()
-            name = f"{task.partitionId():06d}-{k:04d}.warc.zst"
-            fs.move(f"{root}/.{task.taskAttemptId()}-{k}.tmp", f"{root}/{name}")
-            done.append((name, n))
+            done.append((name(), n))
             out, n, k = None, 0, k + 1
 
         for b in sliced(batches):
             for page, url, html, first in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None:
-                    out = fs.open_output_stream(f"{root}/.{task.taskAttemptId()}-{k}.tmp", compression=None)
+                    out = fs.open_output_stream(f"{root}/{name()}", compression=None)
                     out.write(lead)
                 own = first is None or page is None or page == first
                 out.write(zstd.compress(record("response" if own else "revisit", page, url, (html or "").encode("utf-8", "surrogatepass"), first)))
