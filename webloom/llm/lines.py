@@ -4,10 +4,10 @@
 2. Lines that share a band are candidates. In a band with few lines all are paired; in a large one (copies of one
    line with small changes) each is paired with the band's first line and with its neighbour, which is linear.
 3. Pairs are verified by the exact Jaccard similarity of their shingle sets, and distributed union-find joins what is alike.
-4. Lines of large bands in which more than one component is left (a template that many different lines share) meet again
-   on their rarest shingles: of a set of n only the first few in order of rarity can be where it meets another one that is alike, and only sets of
-   near lengths do. That is exact, and shingles that everybody has aren't among them. Their pairs are verified as before, and what
-   then shares a large group and is still apart is compared whole, in tiles. So each pair that shares a band is verified or already connected.
+4. Large bands in which more than one component is left are compared whole, in tiles, skipping pairs that are already joined. Where such
+   a band has more than SPLIT lines (a template that many different lines share), its lines meet in it once more on their rarest shingles
+   instead: of a set of n only the first few in order of rarity can be where it meets another one that is alike, and only sets of near
+   lengths do. That is exact, and shingles that everybody has aren't among them. So each pair that shares a band is verified or already connected.
 5. Of each component the first occurrence stays; all other occurrences, exact copies too, go.
 """
 
@@ -30,6 +30,8 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 7, 14, 4, 0.8
 FEW = 8
 #: Large bands that are compared whole are cut into tiles of so many lines.
 TILE = 512
+#: Larger bands are split by their lines' rarest shingles before anything is compared whole: the work for a line stays within so many others.
+SPLIT = 2048
 #: Counters of shingles, by which their rarity goes; several shingles may share one.
 COUNTERS = 1 << 18
 #: Broadcast line ids or documents' lists of dropped lines up to this number, else join through a shuffle.
@@ -164,6 +166,7 @@ def identified(seen: DataFrame, tag: str, *most):
         per_line = written(now.groupBy("line").agg(F.count("*").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"), *most), f"{tag}-per-line")
         clash = per_line.where("lo <> hi").select("line", F.lit(True).alias("_clash"))
         if not clash.take(1):
+            told.any = bool(clashes)
             return now, per_line, told
         clashes.append(small(written(clash, f"{tag}-clash"), MOST_ROWS))
         dropped(per_line)
@@ -211,12 +214,12 @@ def _distinct_lines(batches, units, ids):
         yield np.array([i for i, _ in both], np.int64), np.array([c for _, c in both], np.int64), lines
 
 
-def _bands(units, k: int, hashed, ids):
+def _bands(units, k: int, hashed, ids, checks: bool):
     def run(batches):
         for line, check, lines in _distinct_lines(batches, units, ids):
             for i in range(0, len(lines), 4096):
                 band, part = bands_of(lines[i : i + 4096], k, hashed), slice(i, i + 4096)
-                yield _batch(["band", "line", "check"], pa.array(band.ravel()), pa.array(np.repeat(line[part], BANDS)), pa.array(np.repeat(check[part], BANDS)))
+                yield _batch(["band", "line", "check"][: 2 + checks], pa.array(band.ravel()), pa.array(np.repeat(line[part], BANDS)), *[pa.array(np.repeat(check[part], BANDS))] * checks)
 
     return run
 
@@ -231,7 +234,7 @@ def _texts(units, ids):
 
 def banded(docs: DataFrame, text: str, units, k: int, hashed, ids, told) -> DataFrame:
     """(band, line) of every line, by MinHash."""
-    return told(docs.select(text).mapInArrow(_bands(units, k, hashed, ids), "band long, line long, check long")).select("band", "line")
+    return told(docs.select(text).mapInArrow(_bands(units, k, hashed, ids, told.any), "band long, line long" + ", check long" * told.any)).select("band", "line")
 
 
 def texts_of(docs: DataFrame, text: str, units, ids, told) -> DataFrame:
@@ -291,30 +294,39 @@ def prefix(s: np.ndarray, often: np.ndarray, least: float) -> list[tuple[np.ndar
 
 
 def _rarest(sets_of, least: float, often):
-    """Rows (line, text) -> (band, line, role)."""
+    """Rows (line, text [, group]) -> (band, line, role)."""
 
-    def run(batches):
-        table_ = often.value
+    def fresh(batches):
         for ids, texts in _fresh(batches):
+            yield ids, texts, np.zeros(len(ids), np.int64)
+
+    def given(batches):
+        for b in sliced(batches, 1024):
+            yield b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()
+
+    def run(batches, source):
+        table_ = often.value
+        for ids, texts, groups in source(batches):
             bands, lines, roles = [], [], []
-            for line, s in zip(ids, sets_of(texts), strict=True):
+            for line, s, group in zip(ids, sets_of(texts), groups.view(np.uint64), strict=True):
                 for x, part, role in prefix(s, table_, least):
-                    bands.append(_mixed(x + np.uint64(part) * _GOLD))
+                    bands.append(_mixed((x ^ group) + np.array([part], np.uint64) * _GOLD))
                     lines.append(np.full(len(x), line, np.int64))
                     roles.append(np.full(len(x), role, np.int8))
             if bands:
                 yield _batch(["band", "line", "role"], *(pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in bands], lines, roles)))
 
-    return run
+    return lambda batches: run(batches, fresh), lambda batches: run(batches, given)
 
 
 def rarest(texts: DataFrame, sets_of, least: float) -> DataFrame:
-    """texts(line, text) -> (band, line, role): where the sets that sets_of makes of the texts meet. Exact: all pairs that are alike share a band."""
+    """texts(line, text [, group]) -> (band, line, role): where the sets that sets_of makes of the texts meet (in their group, if any). Exact: all pairs that are alike share a band."""
     spark = texts.sparkSession
     often = np.zeros(COUNTERS, np.int64)
-    for slot, n in texts.mapInArrow(_counted(sets_of), "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():  # a row for each counter
+    for slot, n in texts.select("line", "text").mapInArrow(_counted(sets_of), "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():  # a row for each counter
         often[slot] = n
-    return texts.mapInArrow(_rarest(sets_of, least, spark.sparkContext.broadcast(often)), "band long, line long, role byte")
+    fresh, given = _rarest(sets_of, least, spark.sparkContext.broadcast(often))
+    return texts.mapInArrow(given if "group" in texts.columns else fresh, "band long, line long, role byte")
 
 
 # --- pairs and links ------------------------------------------------------------------------------------------------------
@@ -449,20 +461,19 @@ def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, has
     texts = written(texts.repartition("line").dropDuplicates(["line"]), f"{tag}-texts")
     found = _found(once, texts, least, k, hashed, tag)
     roots = connected(found)
-    if "role" not in rows.columns:  # what large bands still hold apart meets again on its rarest shingles
-        left = _apart(pairs, roots)
-        if not left.take(1):
-            dropped(pairs, wanted, texts, found, left)
-            return roots
-        part = texts.join(small(left.select("line").distinct(), MOST_ROWS), "line", "left_semi")
-        more = _pairs(rarest(part, lambda lines: shingle_sets(lines, k, hashed), least), f"{tag}-rare")
+    whole = _apart(pairs, roots)
+    large = whole.where(F.col("size") > SPLIT).select("line", F.col("large").alias("group"))
+    if "role" not in rows.columns and large.take(1):
+        more = _pairs(rarest(large.join(texts, "line").select("line", "text", "group"), lambda lines: shingle_sets(lines, k, hashed), least), f"{tag}-rare")
         top = lambda c: roots.toDF(c, f"r{c}")
         new = more.select("a", "b").where("a <> b").distinct().join(top("a"), "a", "left").join(top("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
         again = _found(new, texts, least, k, hashed, f"{tag}-rare")
         before, roots = roots, connected(roots.toDF("a", "b").union(again))
-        dropped(pairs, again, before, left)
-        pairs = more
-    whole = _apart(pairs, roots)
+        rest = _apart(more, roots)
+        few = whole.where(F.col("size") <= SPLIT).drop("root").join(roots.toDF("line", "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+        both = written(rest.unionByName(few), f"{tag}-whole")
+        dropped(again, before, more, rest, whole)
+        whole = both
     if whole.take(1):
         parts = F.ceil(F.col("size") / TILE).cast("int")
         own = F.pmod(F.xxhash64("line"), parts).cast("int")
