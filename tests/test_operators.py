@@ -237,3 +237,29 @@ def test_stored_pages_come_back_whole(spark, sf, tmp_path, codec):
     p = tables.read(spark, sf, "pages")
     p.write.option("compression", codec).parquet(f"{tmp_path}/p")
     assert sorted(spark.read.parquet(f"{tmp_path}/p").collect()) == sorted(p.collect())
+
+
+def test_sort_of_nothing_and_of_ties(spark):
+    from webloom.operators.sorting import with_position
+
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(200)], "a long, b long")
+    got = with_position(df, "a", "b").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 201))
+    assert [(r.a, r.b) for r in got] == sorted(((r.a, r.b) for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert with_position(df.limit(0), "a").count() == 0
+
+
+def test_dictionaries_are_written_once_and_pruned(spark, sf):
+    from webloom.operators import index, search
+    from webloom.sources.tables import page_store
+
+    store = page_store(spark.read.parquet(f"{sf}/pages.parquet"))
+    main, small = index.dictionaries(store, "test")
+    files = main.inputFiles()
+    again, _ = index.dictionaries(store, "test")
+    assert files and set(again.inputFiles()) == set(files)
+    assert main.count() == index.main_dictionary(store).count() and small.count() == index.small_dictionary(main).count()
+    plan = main.where(search.in_main("in the"))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,in the)" in plan
+    terms = [r.term for r in main.select("term").limit(10_000).collect()]
+    assert terms == sorted(terms, key=lambda t: t.encode())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import bf16
 from webloom.functions.tokens import page_tokens, small_word
+from webloom.sources.tables import exists, shared_dir, version
 
 
 def tokens_by_page(store: DataFrame, max_words: int | None = None, last_position: int | None = None) -> DataFrame:
@@ -75,6 +76,21 @@ def write_dictionary(postings: DataFrame, path: str, partitions: int | None = No
     sorted_postings(postings, partitions).write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
 
 
+def dictionaries(store: DataFrame, of: str, ranks: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """The main and the small dictionary of a store, read from where they are written: in the shared folder, once for what the store's files are and of says.
+
+    of: a name for the ranks and options, which tells dictionaries of one store apart. A lookup in them reads the row groups whose range of terms
+    holds it. A dictionary counts as there when both parts were written whole.
+    """
+    spark = store.sparkSession
+    base = f"{shared_dir(spark)}/webloom/dictionary-{version(store)}-{of}"
+    schema = "term string, rank double, page_index long, position int"
+    if not exists(spark, f"{base}/small/_SUCCESS"):
+        write_dictionary(main_dictionary(store, ranks, **options), f"{base}/main")
+        write_dictionary(small_dictionary(spark.read.schema(schema).parquet(f"{base}/main")), f"{base}/small")
+    return tuple(spark.read.schema(schema).parquet(f"{base}/{part}") for part in ("main", "small"))
+
+
 def statistics(main: DataFrame, small: DataFrame) -> DataFrame:
     """One row: words, words of other scripts, pages, most words of a page, short words."""
     per_page = main.groupBy("page_index").agg(F.count("*").alias("n"), F.count_if(F.expr("term rlike '^[^\\\\x00-\\\\x7F]'")).alias("other"))

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.sources.tables import reliable
+from webloom.sources.tables import shared_dir
 
 _IN_PART = (1 << 33) - 1
 
 
 def with_position(df: DataFrame, *keys: str, name: str = "position") -> DataFrame:
-    """df sorted by keys, with places from 1: ranges are sorted each for itself, and their sizes give the offsets."""
-    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    s = reliable(s.withColumn("_id", F.monotonically_increasing_id()))
-    s = s.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(_IN_PART))
-    sizes = s.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-    return s.join(sizes.select("_part", before.alias("_before")), "_part").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))
+    """df sorted by keys (nulls first), with places from 1.
+
+    Ranges of all keys, so that one frequent first key spreads over several, are sorted each for itself and written once to the shared folder,
+    each row with its range and its place in that; the ranges' sizes then give the offsets. The table in the shared folder is the result's source.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/webloom/sorted-{uuid.uuid4().hex}"
+    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    s.write.option("compression", "lz4").parquet(path)
+    s = spark.read.schema(s.schema).parquet(path)
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(_IN_PART)
+    sizes, before, total = sorted(s.groupBy(part.alias("part")).count().collect()), [], 0  # a row for each range
+    for p, n in sizes:
+        before.append((p, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))
+    return s.withColumn("_part", part).join(offsets, "_part").select(*df.columns, (F.col("_before") + at + 1).alias(name))

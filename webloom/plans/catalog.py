@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,10 +236,12 @@ def term_tail(spark, d, limits=LIMITS):
 # --- search -------------------------------------------------------------------------------------------------------------------
 
 
-def _search(spark, d, text: str, limits: dict, options: S.SearchOptions = S.SearchOptions(), store=None) -> DataFrame:
+def _search(spark, d, text: str, limits: dict, options: S.SearchOptions = S.SearchOptions(), store=None, ranks=None) -> DataFrame:
+    """Searches the written dictionaries; they are made first where they aren't there for these tables."""
     store = _store(spark, d) if store is None else store
-    m = index.main_dictionary(store, **limits).persist(StorageLevel.MEMORY_AND_DISK)  # read once for each term; built again if an executor is lost
-    out = S.search(store, m, index.small_dictionary(m), text, options)
+    of = f"{'limits' if limits else 'whole'}{'-ranked' if ranks is not None else ''}"
+    m, s = index.dictionaries(store, of, ranks, **limits)
+    out = S.search(store, m, s, text, options)
     return out.select("page_index", F.round("score", 9).alias("score"), "url", "host", "host_pages")
 
 
@@ -275,6 +276,40 @@ def search_documents(spark, d, limits=LIMITS):
     return _search(spark, d, "the from", limits, store=document_store(read(spark, d, "documents")))
 
 
+def _page_ranks(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The pages, and their PageRank on a graph that resolves: a page links as the part of its number does, to parts that are pages."""
+    store = _store(spark, d)
+    node = store.select(F.col("page_index").alias("node"))
+    links = _part_links(spark, d).join(node.toDF("src"), "src", "left_semi").join(node.toDF("dst"), "dst", "left_semi").select("src", "dst")
+    ranks = pagerank.pagerank(node, links).join(store.select(F.col("page_index").alias("node"), "page_key"), "node")
+    return store, ranks.select(F.col("page_key").alias("node"), "rank")
+
+
+_RANKS = O.pagerank("SELECT page_index AS node FROM store", f"SELECT src, dst FROM ({_PART_LINKS}) WHERE src IN (SELECT page_index FROM store) AND dst IN (SELECT page_index FROM store)")
+_RANKED_INDEX = f"{O.TOKENS}, {O.terms()}, {_RANKS}, {O.RANKED}"
+
+
+@query(f"WITH {O.STORE}, {_RANKED_INDEX} SELECT term, round(rank, 9) AS rank, page_index, position FROM main_dict")
+def posting_ranked(spark, d):
+    """Postings scaled by their page's PageRank."""
+    store, ranks = _page_ranks(spark, d)
+    return index.main_dictionary(store, ranks, **LIMITS).withColumn("rank", F.round("rank", 9))
+
+
+@query(O.search(["the", "that"], index=f"{_RANKED_INDEX}, {O.SMALL}"))
+def search_ranked(spark, d):
+    """A search in which pages of higher PageRank come first."""
+    store, ranks = _page_ranks(spark, d)
+    return _search(spark, d, "the that", LIMITS, store=store, ranks=ranks)
+
+
+@query(f"WITH {O.STORE}, {O.INDEX} SELECT term, round(rank, 9) AS rank, page_index, position, row_number() OVER (ORDER BY term, rank, page_index) AS place FROM main_dict")
+def dict_sorted(spark, d):
+    """The main dictionary in its order, each posting with its place."""
+    m, _ = index.dictionaries(_store(spark, d), "limits", **LIMITS)
+    return sorting.with_position(m, "term", "rank", "page_index", name="place").withColumn("rank", F.round("rank", 9))
+
+
 # --- frontier, log, visits ------------------------------------------------------------------------------------------------------
 
 

@@ -155,6 +155,10 @@ terms AS (
 MAIN = f"""main_dict AS (
   SELECT term, CASE WHEN total > 0 THEN {bf16('(weight * 1.0 / total)')} ELSE weight END AS rank, page_index, position FROM terms)"""
 
+#: The same with each posting scaled by its page's rank, from ranks(node, rank).
+RANKED = f"""main_dict AS (
+  SELECT term, CASE WHEN total > 0 THEN {bf16('(weight * rank / total)')} ELSE weight END AS rank, page_index, position FROM terms JOIN ranks ON node = page_index)"""
+
 _W = "string_split(term, ' ')[1]"
 SMALL = f"""words AS (SELECT *, {_W} AS w, strlen({_W}) AS n FROM main_dict),
 ended AS (
@@ -170,7 +174,7 @@ small_dict AS (
 INDEX = f"{TOKENS}, {terms()}, {MAIN}, {SMALL}"
 
 
-def search(query_terms: list[str], merge: bool = True, show: int = 200, store: str = STORE, columns: str = "page_index, score, url, host, host_pages") -> str:
+def search(query_terms: list[str], merge: bool = True, show: int = 200, store: str = STORE, index: str | None = None) -> str:
     """The search for terms (each of 24 bytes or fewer)."""
     looked = []
     for i, t in enumerate(query_terms):
@@ -185,7 +189,7 @@ def search(query_terms: list[str], merge: bool = True, show: int = 200, store: s
     near = " * ".join(["1.0", *(f"greatest(1e-6, pow(0.9, (SELECT min(abs(a.position - b.position)) FROM top a, top b WHERE a.page_index = p.page_index AND b.page_index = p.page_index AND a.idx = {i - 1} AND b.idx = {i}) - 1))" for i in range(1, n))])
     best = "row_number() OVER (PARTITION BY host ORDER BY score DESC, page_index) = 1" if merge else "TRUE"
     pages_of = "count(*) OVER (PARTITION BY host)" if merge else "1"
-    return f"""WITH {store}, {INDEX},
+    return f"""WITH {store}, {index or INDEX},
 hits AS ({' UNION ALL '.join(looked)}),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx, page_index ORDER BY rank DESC, position) AS k FROM hits) WHERE k <= 2),
 p AS (SELECT page_index, sum(rank) AS total FROM top GROUP BY page_index HAVING count(DISTINCT idx) = {n}),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,36 @@ def append_url_list(urls: DataFrame, path: str) -> None:
     urls.select("url").write.mode("append").text(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share; in local mode one of its own where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="webloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def reliable(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the folder of spark.checkpoint.dir that all executors share (one of its own where that is unset)."""
+    """df cut off from its lineage, in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def version(df: DataFrame) -> str:
+    """What df's files are now: their names, sizes and times, as a digest."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    seen = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        st = path.getFileSystem(conf).getFileStatus(path)
+        seen.append(f"{name} {st.getLen()} {st.getModificationTime()}")
+    return hashlib.md5("\n".join(seen).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
