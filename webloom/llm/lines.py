@@ -458,7 +458,7 @@ def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, has
     once = pairs.select("a", "b").where("a <> b").distinct()
     wanted = written(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), f"{tag}-wanted")
     texts = texts.join(small(wanted, MOST_ROWS), "line", "left_semi")
-    texts = written(texts.repartition("line").dropDuplicates(["line"]), f"{tag}-texts")
+    texts = written(texts.dropDuplicates(["line"]), f"{tag}-texts")  # copies are combined where they are read
     found = _found(once, texts, least, k, hashed, tag)
     roots = connected(found)
     whole = _apart(pairs, roots)
