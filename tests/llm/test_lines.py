@@ -173,3 +173,11 @@ def test_prefixes_of_alike_sets_meet():
         for s in (x, y):
             meet.append([(e, part, role) for xs, part, role in L.prefix(np.array(sorted(s), np.uint64), often, 0.8) for e in xs.tolist()])
         assert any(a[:2] == b[:2] and a[2] + b[2] < 2 for a in meet[0] for b in meet[1])
+
+
+def test_bands_that_are_split(spark, monkeypatch):
+    """The same lines with every large band split by rarest shingles."""
+    monkeypatch.setattr(L, "SPLIT", 8)
+    lines = templates(120, 1)
+    lines += [x[:-1] + "!" for x in lines[:40]] + templates(40, 2, 7)
+    assert {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()} == by_hand(list(enumerate(lines)))
