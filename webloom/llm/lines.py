@@ -522,13 +522,14 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     found = links(banded(docs, text, lines_of, SHINGLE, _hashed, ids, told), texts_of(docs, text, lines_of, ids, told), least)
     roots = found.toDF("line", "root")
     members = roots.union(roots.select("root", "root").distinct())
-    known = per_line.join(members, "line", "left").where("n > 1 or root is not null").select("line", F.coalesce("root", "line").alias("root"), "first")
-    known = written(known, "lines-known")
-    stays = known.join(known.groupBy("root").agg(F.min("first").alias("stays")), "root").select("line", "stays")
-    stays = written(stays, "lines-stays")
+    known = written(per_line.join(members, "line", "left").where("n > 1 or root is not null").select("line", "root", "first"), "lines-known")
+    linked = known.where("root is not null")
+    firsts = written(linked.groupBy("root").agg(F.min("first").alias("stays")), "lines-least")
+    stays = spread(linked.select("line", "root"), firsts, "root", "line", MOST_ROWS).select("line", "stays")
+    stays = written(stays.union(known.where("root is null").select("line", "first")), "lines-stays")
     gone = spread(seen, stays, "line", "no", MOST_ROWS).where(~at.eqNullSafe(F.col("stays"))).groupBy("id", "dk").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     gone = written(gone, "lines-gone")
-    dropped(occurrences, per_line, found, known, stays)
+    dropped(occurrences, per_line, found, known, firsts, stays)
     gone = small(gone, MOST_ROWS, F.size("gone") / 8 + 1).toDF("_of_id", "_of_dk", "_gone")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     whole = whole.join(gone, F.col(f"row.`{id}`").eqNullSafe(F.col("_of_id")) & (F.xxhash64(f"row.`{text}`") == F.col("_of_dk")), "left")
