@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "4m")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries run inside free their shuffle files as they end; by default those stay until the driver's JVM collects what refers to them.
+
+    Only for queries that are run once, as writes are: until the end lost files can be made again, and then nothing reads them.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor. Its shuffle files go once it is complete."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     small_batches(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._webloom_path = path
     return out
