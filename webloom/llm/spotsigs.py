@@ -122,11 +122,11 @@ def _known(df: DataFrame, text: str, id: str) -> DataFrame:
     return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, line long, check long, fingerprint string")
 
 
-def _sets(fingerprints: list[str]) -> list[np.ndarray]:
-    return [decoded(f).astype(np.uint64) for f in fingerprints]
+def _sets(fingerprints: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(f, ">u4").astype(np.uint64) for f in fingerprints]
 
 
-def _as_hashed(fingerprints: list[str], k: int):
+def _as_hashed(fingerprints: list[bytes], k: int):
     """The sets in the form that webloom.llm.lines takes them in."""
     for at, s in enumerate(_sets(fingerprints)):
         yield at, s, np.zeros(len(s), np.int64), np.array([len(s)])
@@ -135,7 +135,7 @@ def _as_hashed(fingerprints: list[str], k: int):
 def _components(rows: DataFrame, id: str, least: float) -> DataFrame:
     """_known() rows, written -> the rows with component, the least id that links reach."""
     seen, per_set, told = identified(rows.select("line", "check", id), "spotsigs", F.min(id).alias("least_id"))
-    sets = told(rows.select("line", "check", "fingerprint")).select("line", F.col("fingerprint").alias("text"))
+    sets = told(rows.select("line", "check", "fingerprint")).select("line", F.unhex("fingerprint").alias("text"))  # bytes: half of what is shuffled
     roots = links(rarest(sets, _sets, least), sets, least, 0, _as_hashed, "spotsigs")
     named = per_set.join(roots, per_set.line == roots.node, "left").select("line", "least_id", F.coalesce("root", "line").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least_id").alias("component"))
