@@ -181,3 +181,18 @@ def test_bands_that_are_split(spark, monkeypatch):
     lines = templates(120, 1)
     lines += [x[:-1] + "!" for x in lines[:40]] + templates(40, 2, 7)
     assert {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()} == by_hand(list(enumerate(lines)))
+
+
+def test_only_keys_with_many_rows_are_split_beyond_the_limit(spark, monkeypatch):
+    from webloom.llm import common
+
+    monkeypatch.setattr(common, "MANY", 50)
+    rows = [(k, i) for k, n in (("a", 1), ("b", 50), ("c", 51), ("d", 700)) for i in range(n)] + [("z", 0)]
+    left = spark.createDataFrame(rows, "key string, at int")
+    right = left.where("key <> 'z'").groupBy("key").agg(L.F.count("*").alias("n"))
+    both = common.spread(left, right, "key", "at", 0, many="n")
+    assert sorted((r.key, r.at, r.n) for r in both.collect()) == sorted((k, i, {"a": 1, "b": 50, "c": 51, "d": 700}[k]) for k, i in rows if k != "z")
+    few = common.spread(left, right.where("n <= 50"), "key", "at", 0, many="n")
+    assert few.count() == 51 and "Generate" not in few._jdf.queryExecution().toString()  # no key, no copies of right's rows
+    none = common.spread(left, right, "key", "at", 0, "left", many="n")
+    assert none.count() == len(rows)

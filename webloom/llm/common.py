@@ -91,15 +91,32 @@ def small(df: DataFrame, rows: int, weight=None) -> DataFrame:
     return F.broadcast(df) if n <= rows else df
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, by: str, rows: int, how: str = "inner", also=None, parts: int = 16) -> DataFrame:
+#: Keys of more rows than this are split where spread() knows how many each has.
+MANY = 10_000
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, by: str | tuple, rows: int, how: str = "inner", also=None, parts: int = 16, many: str | None = None) -> DataFrame:
     """left joined with right on key, where very many rows of left may share one: right is broadcast if it was counted to have at most so many rows,
-    else each key is split in parts by a hash of left's column by, and right's rows are there for each part. also: a further condition."""
+    else each key is split in parts by a hash of left's column (or columns) by, and right's rows are there for each part. also: a further condition.
+
+    many: right's column of how many rows of left have its key. Only keys of more than MANY are split then, each in as many parts as it needs.
+    """
     other = right.withColumnRenamed(key, "_key")
     if right.count() <= rows:
         on = F.col(key) == F.col("_key")
         return left.join(F.broadcast(other), on if also is None else on & also, how).drop("_key")
-    left = left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
-    other = other.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    by = (by,) if isinstance(by, str) else by
+    if many is None:
+        left = left.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+        other = other.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    else:
+        split = right.where(F.col(many) > MANY).select(F.col(key).alias("_split"), F.ceil(F.col(many) / MANY).cast("int").alias("_parts"))
+        if not split.take(1):
+            return left.join(other, F.col(key) == F.col("_key") if also is None else (F.col(key) == F.col("_key")) & also, how).drop("_key")
+        left = left.join(small(split, rows), F.col(key) == F.col("_split"), "left")
+        left = left.withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_split", "_parts")
+        copies = F.when(F.col(many) > MANY, F.ceil(F.col(many) / MANY).cast("int")).otherwise(F.lit(1))
+        other = other.withColumn("_of", F.explode(F.sequence(F.lit(0), copies - 1)))
     on = (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_of"))
     return left.join(other, on if also is None else on & also, how).drop("_key", "_part", "_of")
 

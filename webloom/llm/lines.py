@@ -447,7 +447,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     large = large.join(roots.toDF("line", "root"), "line", "left").select("large", "line", F.coalesce("root", "line").alias("root"))
     mixed = large.groupBy("large").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("large", "size")
     mixed = written(mixed, "lines-mixed")
-    out = written(spread(large, mixed, "large", "line", MOST_ROWS), "lines-apart")
+    out = written(spread(large, mixed, "large", "line", MOST_ROWS, many="size"), "lines-apart")
     dropped(mixed)
     return out
 
@@ -522,12 +522,12 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     found = links(banded(docs, text, lines_of, SHINGLE, _hashed, ids, told), texts_of(docs, text, lines_of, ids, told), least)
     roots = found.toDF("line", "root")
     members = roots.union(roots.select("root", "root").distinct())
-    known = written(per_line.join(members, "line", "left").where("n > 1 or root is not null").select("line", "root", "first"), "lines-known")
+    known = written(per_line.join(members, "line", "left").where("n > 1 or root is not null").select("line", "root", "first", "n"), "lines-known")
     linked = known.where("root is not null")
-    firsts = written(linked.groupBy("root").agg(F.min("first").alias("stays")), "lines-least")
-    stays = spread(linked.select("line", "root"), firsts, "root", "line", MOST_ROWS).select("line", "stays")
-    stays = written(stays.union(known.where("root is null").select("line", "first")), "lines-stays")
-    gone = spread(seen, stays, "line", "no", MOST_ROWS).where(~at.eqNullSafe(F.col("stays"))).groupBy("id", "dk").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    firsts = written(linked.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("lines")), "lines-least")
+    stays = spread(linked.select("line", "root", "n"), firsts, "root", "line", MOST_ROWS, many="lines").select("line", "stays", "n")
+    stays = written(stays.union(known.where("root is null").select("line", "first", "n")), "lines-stays")
+    gone = spread(seen, stays, "line", ("id", "dk", "no"), MOST_ROWS, many="n").where(~at.eqNullSafe(F.col("stays"))).groupBy("id", "dk").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     gone = written(gone, "lines-gone")
     dropped(occurrences, per_line, found, known, firsts, stays)
     gone = small(gone, MOST_ROWS, F.size("gone") / 8 + 1).toDF("_of_id", "_of_dk", "_gone")
