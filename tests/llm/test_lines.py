@@ -183,6 +183,41 @@ def test_bands_that_are_split(spark, monkeypatch):
     assert {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()} == by_hand(list(enumerate(lines)))
 
 
+def test_bands_are_dealt_out_in_a_few_rows_and_only_shared_ones_come_back(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    lines = sorted({x for r in docs.collect() for _, x in L.lines_of(r.text)})
+    of = {}
+    for x, bands in zip(lines, L.bands_of(lines).tolist(), strict=True):
+        for b in bands:
+            of.setdefault(b, set()).add(L.line_id(x)[0])
+    told = lambda df: df
+    told.any = False
+    rows = L.banded(docs, "text", L.lines_of, L.SHINGLE, L._hashed, L.line_id, told, len(lines))
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.band, set()).add(r.line)
+    assert got == {b: x for b, x in of.items() if len(x) > 1}
+
+
+def test_shared_bands_whatever_the_batches():
+    rnd = random.Random(7)
+    rows = [(rnd.randrange(-400, 400) if rnd.random() < 0.9 else 5, rnd.randrange(30)) for _ in range(3000)] + [(10**6 + i, i) for i in range(500)] * 2
+    rnd.shuffle(rows)
+    of = {}
+    for b, x in rows:
+        of.setdefault(b, set()).add(x)
+    for parts, most, size in ((1, 10, 7), (3, 100, 1000), (5, 10**6, 50)):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        made = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in c], pa.int64()), pa.array([x for _, x in c], pa.int64())], ["band", "line"]) for c in cut]
+        packed = list(L._packed(iter, parts, most)(made))
+        assert all(0 <= p < parts for b in packed for p in b.column(0).to_pylist())
+        got = {}
+        for out in L._shared(packed, most):
+            for b, x in zip(*(out.column(i).to_pylist() for i in (0, 1)), strict=True):
+                got.setdefault(b, set()).add(x)
+        assert got == {b: x for b, x in of.items() if len(x) > 1}
+
+
 def test_only_keys_with_many_rows_are_split_beyond_the_limit(spark, monkeypatch):
     from webloom.llm import common
 
@@ -196,3 +231,13 @@ def test_only_keys_with_many_rows_are_split_beyond_the_limit(spark, monkeypatch)
     assert few.count() == 51 and "Generate" not in few._jdf.queryExecution().toString()  # no key, no copies of right's rows
     none = common.spread(left, right, "key", "at", 0, "left", many="n")
     assert none.count() == len(rows)
+
+
+def test_shuffled_sides_with_split_keys(spark, sf, monkeypatch):
+    from webloom.llm import common
+
+    monkeypatch.setattr(L, "MOST_ROWS", 0)
+    monkeypatch.setattr(common, "MANY", 3)
+    monkeypatch.setattr(L, "BANDS_A_PART", 500)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == by_hand(sorted((r.doc_id, r.text) for r in docs.collect()))

@@ -35,6 +35,8 @@ SPLIT = 2048
 #: Counters of shingles, by which their rarity goes; several shingles may share one.
 COUNTERS = 1 << 18
 #: Broadcast line ids or documents' lists of dropped lines up to this number, else join through a shuffle.
+#: Bands by task of the pass that finds those of more than one line.
+BANDS_A_PART = 1_000_000
 MOST_ROWS = 1_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -232,9 +234,78 @@ def _texts(units, ids):
     return run
 
 
-def banded(docs: DataFrame, text: str, units, k: int, hashed, ids, told) -> DataFrame:
-    """(band, line) of every line, by MinHash."""
-    return told(docs.select(text).mapInArrow(_bands(units, k, hashed, ids, told.any), "band long, line long" + ", check long" * told.any)).select("band", "line")
+def _packed(bands, parts: int, most: int = 1 << 19):
+    """Batches (band, line) -> rows (part, rows): the bands, then the lines, of those rows whose band belongs to the part, as bytes. A row for very many of them,
+    as most bands have one line only and needn't be told apart by the shuffle."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def out():
+            band, line = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = ((band.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            band, line, part = band[order], line[order], part[order]
+            cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+            rows = [band[s:e].tobytes() + line[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            return _batch(["part", "rows"], pa.array(part[cuts[:-1]]), pa.array(rows, pa.binary()))
+
+        for b in bands(batches):
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+                n += b.num_rows
+            if n >= most:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _shared(batches, most: int = 1 << 19):
+    """Rows (part, rows) as of _packed -> (band, line) of all bands that more than one line has; a line may come several times.
+
+    Of a band only its first line is held, so what is held goes by the number of bands, not by the size of any.
+    """
+    bands, firsts, said = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    held, n = [], 0
+
+    def merged():
+        nonlocal bands, firsts, said
+        every = np.concatenate([bands, *(x[: len(x) // 2] for x in held)])
+        order = np.argsort(every, kind="stable")  # what is held of a band comes first
+        every, line = every[order], np.concatenate([firsts, *(x[len(x) // 2 :] for x in held)])[order]
+        start = np.r_[True, every[1:] != every[:-1]]
+        of = np.cumsum(start) - 1
+        before = np.concatenate([said, np.zeros(len(every) - len(said), bool)])[order][start]
+        bands, firsts = every[start], line[start]
+        other = line != firsts[of]
+        said = before.copy()
+        said[of[other]] = True
+        new = said & ~before
+        return _batch(["band", "line"], pa.array(np.concatenate([bands[new], every[other]])), pa.array(np.concatenate([firsts[new], line[other]])))
+
+    for b in batches:
+        for x in b.column(1).to_pylist():
+            held.append(np.frombuffer(x, np.int64))
+            n += len(held[-1]) // 2
+            if n >= max(most, len(bands)):
+                yield merged()
+                held, n = [], 0
+    if held:
+        yield merged()
+
+
+def banded(docs: DataFrame, text: str, units, k: int, hashed, ids, told, lines: int) -> DataFrame:
+    """(band, line) of the lines that share a band with another line, by MinHash. lines: how many there are, for the number of parts they are dealt to."""
+    parts = max(math.ceil(lines * BANDS / BANDS_A_PART), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed, bands = "part int, rows binary", _bands(units, k, hashed, ids, told.any)
+    if told.any:
+        rows = told(docs.select(text).mapInArrow(bands, "band long, line long, check long")).select("band", "line").mapInArrow(_packed(iter, parts), packed)
+    else:
+        rows = docs.select(text).mapInArrow(_packed(bands, parts), packed)
+    return rows.repartitionById(parts, "part").mapInArrow(_shared, "band long, line long")
 
 
 def texts_of(docs: DataFrame, text: str, units, ids, told) -> DataFrame:
@@ -519,7 +590,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     occurrences = written(keyed.mapInArrow(_occurrences(ids), f"line long, check long, id {kind}, dk long, no int"), "lines-seen")
     at = F.struct("id", "dk", "no")
     seen, per_line, told = identified(occurrences, "lines", F.min(at).alias("first"))
-    found = links(banded(docs, text, lines_of, SHINGLE, _hashed, ids, told), texts_of(docs, text, lines_of, ids, told), least)
+    found = links(banded(docs, text, lines_of, SHINGLE, _hashed, ids, told, per_line.count()), texts_of(docs, text, lines_of, ids, told), least)
     roots = found.toDF("line", "root")
     members = roots.union(roots.select("root", "root").distinct())
     known = written(per_line.join(members, "line", "left").where("n > 1 or root is not null").select("line", "root", "first", "n"), "lines-known")

@@ -46,7 +46,7 @@ def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", least:
     kind = docs.schema[id].dataType.simpleString()
     seen = written(docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("dk"), F.col(text).alias("text")).mapInArrow(_ids, f"line long, check long, id {kind}, dk long"), "near-seen")
     rows, per_line, told = identified(seen, "near")
-    found = links(banded(docs, text, whole, WORDS, hashed_words, line_id, told), texts_of(docs, text, whole, line_id, told), least, WORDS, hashed_words, "near")
+    found = links(banded(docs, text, whole, WORDS, hashed_words, line_id, told, per_line.count()), texts_of(docs, text, whole, line_id, told), least, WORDS, hashed_words, "near")
     roots = found.toDF("line", "root")
     members = written(rows.join(roots.union(roots.select("root", "root").distinct()), "line").select("root", F.struct("id", "dk").alias("key")), "near-members")
     dropped(seen, per_line, found)
