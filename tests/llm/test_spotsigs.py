@@ -144,3 +144,61 @@ def test_many_variants_of_one_text(spark):
     took = time.perf_counter()
     got = S.near_duplicates(df).groupBy("component").count().collect()
     assert max(r["count"] for r in got) > 2900 and time.perf_counter() - took < 60
+
+
+def test_sketches_leave_all_alike_pairs_and_few_others():
+    from webloom.llm.sketches import may_be_alike, pair_may_be_alike, sketch
+
+    rnd = np.random.default_rng(3)
+    sets = [np.unique(rnd.integers(0, 1 << 32, n, dtype=np.uint64)).astype(np.uint32) for n in (1, 2, 5, 30, 60, 100, 130, 500, 9000) for _ in range(6)]
+    for s in list(sets):  # edited by less and less
+        for kept in (0.7, 0.88, 0.9, 0.97, 1.0):
+            sets.append(np.unique(np.concatenate([s[rnd.random(len(s)) < kept], rnd.integers(0, 1 << 32, rnd.integers(0, 2 + len(s) // 9), dtype=np.uint64).astype(np.uint32)])))
+    sketches, sizes = [sketch(s) for s in sets], np.array([len(s) for s in sets])
+    for least in (0.5, 0.8, 1.0):
+        alike = np.array([[S.likeness(a, b) >= least for b in sets] for a in sets])
+        one = np.array([[pair_may_be_alike(x, n, y, m, least) for y, m in zip(sketches, sizes, strict=True)] for x, n in zip(sketches, sizes, strict=True)])
+        assert not (alike & ~one).any() and not (alike & ~may_be_alike(sketches, sizes, least)).any()
+        assert not (one & ~may_be_alike(sketches, sizes, least)).any()  # shorter sketches tell less
+        if least >= 0.8:
+            mid = np.flatnonzero((sizes >= 30) & (sizes <= 600))
+            apart = np.array([[S.likeness(sets[a], sets[b]) < 0.3 for b in mid] for a in mid])
+            assert (one[np.ix_(mid, mid)] & apart).sum() < 0.01 * apart.sum()
+
+
+def test_only_sets_of_pairs_that_may_be_alike_are_moved(spark, monkeypatch):
+    """Texts of few words share signatures, but hardly any two are alike: their sets stay where they are."""
+    from webloom.llm import lines as L
+
+    rnd = random.Random(21)
+    texts = [" ".join(w for _ in range(60) for w in ("the", rnd.choice("abcdefghijklmno") * 3, rnd.choice("pqrstuvwxyz") * 3)) for _ in range(300)]
+    texts += [t + " the end here" for t in texts[:20]]
+    rows = list(enumerate(texts))
+    counts, real = [], L._texts_of
+    monkeypatch.setattr(L, "_texts_of", lambda lines, texts, tag: counts.append(lines.count()) or real(lines, texts, tag))
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component) for r in got) == components_by_hand(rows)
+    assert counts and max(counts) <= 60
+
+
+def test_large_groups_of_several_components(spark, monkeypatch):
+    """Bands that are compared whole, in tiles, beyond the broadcast limits too."""
+    from webloom.llm import lines as L
+
+    rnd = random.Random(22)
+    common = " ".join(w for i in range(12) for w in ("the", f"c{i}", f"d{i}"))
+    rows = []
+    for i in range(150):
+        own = " ".join(w for j in range(40) for w in ("of", f"k{rnd.randrange(10**6)}", f"l{j}"))
+        rows.append((2 * i, f"{common} {own}"))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, f"{common} {own} the x{i}"))
+    want = None
+    for few, tile, most in ((8, 512, 1_000_000), (2, 16, 1_000_000), (2, 16, 0)):
+        monkeypatch.setattr(L, "FEW", few)
+        monkeypatch.setattr(L, "TILE", tile)
+        monkeypatch.setattr(L, "MOST_ROWS", most)
+        monkeypatch.setattr(S, "MOST_SETS", most)
+        got = Counter((r.doc_id, r.component) for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        want = want or components_by_hand(rows)
+        assert got == want

@@ -24,6 +24,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from webloom.llm.common import dropped, sliced, small, spread, table, written
 from webloom.llm.components import connected, forest
+from webloom.llm.sketches import may_be_alike, pair_may_be_alike
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 14, 4, 0.8
 #: Bands with so many lines or fewer are paired whole.
@@ -34,9 +35,9 @@ TILE = 512
 SPLIT = 2048
 #: Counters of shingles, by which their rarity goes; several shingles may share one.
 COUNTERS = 1 << 18
-#: Broadcast line ids or documents' lists of dropped lines up to this number, else join through a shuffle.
 #: Bands by task of the pass that finds those of more than one line.
 BANDS_A_PART = 1_000_000
+#: Broadcast line ids or documents' lists of dropped lines up to this number, else join through a shuffle.
 MOST_ROWS = 1_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -479,6 +480,34 @@ def _verified(least: float, k: int = SHINGLE, hashed=_hashed):
     return run
 
 
+def _hopeful(least: float):
+    """Rows (a, b, size and sketch of a, of b) -> the pairs that may be alike (see webloom.llm.sketches)."""
+
+    def run(batches):
+        for b in sliced(batches, 4096):
+            sides = zip(*(b.column(i).to_pylist() for i in (3, 2, 5, 4)), strict=True)
+            yield b.filter(pa.array([pair_may_be_alike(*x, least) for x in sides], pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _hopeful_lines(least: float):
+    """Rows (g, line, root, size, sketch) sorted by g -> (g, line, root) of the lines that may be like one of another root in their g."""
+
+    def run(batches):
+        for g, line, root, size, sketches in _groups(batches, 5):
+            some = np.zeros(len(g), bool)
+            cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
+            for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(g)], strict=True):
+                own = root[s:e]
+                if not (own == own[0]).all():
+                    some[s:e] = (may_be_alike(list(sketches[s:e]), size[s:e], least) & (own[:, None] != own)).any(axis=0)
+            if some.any():
+                yield _batch(["g", "line", "root"], _longs(g[some]), _longs(line[some]), _longs(root[some]))
+
+    return run
+
+
 def _compared(least: float, k: int = SHINGLE, hashed=_hashed):
     """Rows (g, line, root, text) sorted by g -> links between lines of different roots."""
 
@@ -523,13 +552,27 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, hashed=_hashed, tag: str = "lines") -> DataFrame:
-    """rows(band, line [, role]), texts(line, text) of those lines -> (node, root) of lines that are like others (see components.connected). hashed, k: how a text becomes a set."""
-    pairs = _pairs(rows, tag)
-    once = pairs.select("a", "b").where("a <> b").distinct()
-    wanted = written(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), f"{tag}-wanted")
-    texts = texts.join(small(wanted, MOST_ROWS), "line", "left_semi")
-    texts = written(texts.dropDuplicates(["line"]), f"{tag}-texts")  # copies are combined where they are read
+def _texts_of(lines: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+    """(line, text) of the lines, once each, written. texts has them and others."""
+    texts = texts.join(small(lines, MOST_ROWS), "line", "left_semi")
+    return written(texts.dropDuplicates(["line"]), f"{tag}-texts")  # copies are combined where they are read
+
+
+def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, hashed=_hashed, tag: str = "lines", sketches: DataFrame | None = None) -> DataFrame:
+    """rows(band, line [, role]), texts(line, text) of those lines -> (node, root) of lines that are like others (see components.connected). hashed, k: how a text becomes a set.
+
+    sketches: (line, size, sketch) of each line's set, as of webloom.llm.sketches; only pairs that those leave open are compared, and only their texts are moved.
+    texts is read twice then. Only for rows with a role.
+    """
+    assert sketches is None or "role" in rows.columns
+    pairs, all_texts = _pairs(rows, tag), texts
+    once, open_ = pairs.select("a", "b").where("a <> b").distinct(), pairs
+    if sketches is not None:
+        sketches = small(sketches, MOST_ROWS, F.length("sketch") / 64 + 0.5)
+        side = lambda c: sketches.toDF(c, f"n{c}", f"s{c}")
+        once = open_ = written(once.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_hopeful(least), "a long, b long"), f"{tag}-open")
+    wanted = written(open_.select(F.col("a").alias("line")).union(open_.select("b")).distinct(), f"{tag}-wanted")
+    texts = _texts_of(wanted, all_texts, tag)
     found = _found(once, texts, least, k, hashed, tag)
     roots = connected(found)
     whole = _apart(pairs, roots)
@@ -549,11 +592,17 @@ def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, has
         parts = F.ceil(F.col("size") / TILE).cast("int")
         own = F.pmod(F.xxhash64("line"), parts).cast("int")
         pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.xxhash64("large", F.least(t, own), F.greatest(t, own)))
-        tiles = whole.select(F.explode(pair).alias("g"), "line", "root").join(texts, "line").select("g", "line", "root", "text")
-        rest = tiles.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least, k, hashed), "a long, b long")
+        tiles = whole.select(F.explode(pair).alias("g"), "line", "root")
+        if sketches is not None:
+            tiles = tiles.join(sketches, "line").select("g", "line", "root", "size", "sketch").repartition("g").sortWithinPartitions("g")
+            tiles = written(tiles.mapInArrow(_hopeful_lines(least), "g long, line long, root long"), f"{tag}-tiles")
+            dropped(texts)
+            texts = _texts_of(tiles.select("line").distinct(), all_texts, tag)
+        rest = tiles.join(texts, "line").select("g", "line", "root", "text")
+        rest = rest.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least, k, hashed), "a long, b long")
         before, roots = roots, connected(roots.toDF("a", "b").union(rest))
-        dropped(before)
-    dropped(pairs, wanted, texts, found, whole)
+        dropped(before, *[tiles] * (sketches is not None))
+    dropped(pairs, wanted, texts, found, whole, *[once] * (sketches is not None))
     return roots
 
 

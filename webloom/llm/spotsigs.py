@@ -5,7 +5,8 @@ signature is the chain of the next few content words (not common ones) after it.
 words, the next word stands in for one, so texts of any language or kind get signatures and an edit stays local.
 Two fingerprints compare by the Jaccard similarity of their sets. For near-duplicates, sets are partitioned by length, so
 that only neighbouring partitions can hold a partner, and meet there on the rarest of their signatures (webloom.llm.lines.prefix), which
-prunes all pairs that can't be alike; the Jaccard similarity of those left is computed, and union-find joins what is alike.
+prunes all pairs that can't be alike, as do parity sketches of the sets (webloom.llm.sketches); the Jaccard similarity of those left is computed, and union-find joins
+what is alike.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import dropped, sliced, spread, table, written
 from webloom.llm.lines import identified, line_id, links, rarest
+from webloom.llm.sketches import sketch
 
 CHAIN, GAP, SIMILARITY = 2, 8, 0.8
 #: Rows by partition of the query's ordered pass.
@@ -110,16 +112,18 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
 
 
 def _known(df: DataFrame, text: str, id: str) -> DataFrame:
-    """(id, line, check, fingerprint) of every row: the fingerprint, and the two numbers that stand for it."""
+    """(id, line, check, fingerprint, size, sketch) of every row: the fingerprint, the two numbers that stand for it, how many signatures it has and their sketch."""
     kind = df.schema[id].dataType.simpleString()
 
     def run(batches):
         for b in sliced(batches):
-            fps = [encoded(signatures(t)) for t in b.column(1).to_pylist()]
+            sets = [signatures(t) for t in b.column(1).to_pylist()]
+            fps = [encoded(x) for x in sets]
             both = [line_id(f) for f in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), pa.array(fps, pa.string())], [id, "line", "check", "fingerprint"])
+            told = [pa.array([i for i, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), pa.array(fps, pa.string()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *told], [id, "line", "check", "fingerprint", "size", "sketch"])
 
-    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, line long, check long, fingerprint string")
+    return df.select(id, text).mapInArrow(run, f"`{id}` {kind}, line long, check long, fingerprint string, size int, sketch binary")
 
 
 def _sets(fingerprints: list[bytes]) -> list[np.ndarray]:
@@ -136,12 +140,13 @@ def _components(rows: DataFrame, id: str, least: float) -> DataFrame:
     """_known() rows, written -> the rows with component, the least id that links reach."""
     seen, per_set, told = identified(rows.select("line", "check", id), "spotsigs", F.min(id).alias("least_id"))
     sets = told(rows.select("line", "check", "fingerprint")).select("line", F.unhex("fingerprint").alias("text"))  # bytes: half of what is shuffled
-    roots = links(rarest(sets, _sets, least), sets, least, 0, _as_hashed, "spotsigs")
-    named = per_set.join(roots, per_set.line == roots.node, "left").select("line", "least_id", F.coalesce("root", "line").alias("root"))
+    sketches = written(told(rows.select("line", "check", "size", "sketch")).select("line", "size", "sketch").dropDuplicates(["line"]), "spotsigs-sketches")
+    roots = links(rarest(sets, _sets, least), sets, least, 0, _as_hashed, "spotsigs", sketches)
+    named = per_set.join(roots, per_set.line == roots.node, "left").select("line", "n", "least_id", F.coalesce("root", "line").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = written(named.join(of_root, "root").select("line", "component"), "spotsigs-named")
-    dropped(per_set, roots)
-    return spread(told(rows.withColumn("own", F.col("line"))), named, "line", id, MOST_SETS)
+    named = written(named.join(of_root, "root").select("line", "component", "n"), "spotsigs-named")
+    dropped(per_set, sketches, roots)
+    return spread(told(rows.drop("size", "sketch").withColumn("own", F.col("line"))), named, "line", id, MOST_SETS, many="n")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
