@@ -263,3 +263,23 @@ def test_dictionaries_are_written_once_and_pruned(spark, sf):
     assert "StringStartsWith(term,in the)" in plan
     terms = [r.term for r in main.select("term").limit(10_000).collect()]
     assert terms == sorted(terms, key=lambda t: t.encode())
+
+
+@pytest.mark.parametrize("name", ["posting_ranked", "search_ranked"])
+def test_pages_of_one_url_keep_their_own_ranks(spark, sf, tmp_path, name):
+    import duckdb
+
+    from webloom.plans import catalog
+
+    rows = [(i, f"http://h{i // 3}.com/p", f"<title>t</title><body>the one that stays {i}</body>") for i in range(1, 13)]  # three pages of each URL
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    links = [(o, n, p) for o in range(40) for n, p in enumerate([1 + o % 12, 1 + o * 5 % 12, 1 + o * o % 12])]
+    spark.createDataFrame(links, "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 13)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    c = con.execute(catalog.ORACLES[name])
+    at = [df.columns.index(d[0]) for d in c.description]
+    assert sorted(tuple(r[i] for i in at) for r in df.collect()) == sorted(c.fetchall())
