@@ -241,3 +241,41 @@ def test_shuffled_sides_with_split_keys(spark, sf, monkeypatch):
     monkeypatch.setattr(L, "BANDS_A_PART", 500)
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
     assert {r.doc_id: r.text for r in L.dedup_lines(docs).collect()} == by_hand(sorted((r.doc_id, r.text) for r in docs.collect()))
+
+
+def test_near_copies_of_one_line_do_not_meet_by_their_rarest_shingles(spark, monkeypatch):
+    """A large component and a few lines outside it: those are compared with it, however large it is."""
+    monkeypatch.setattr(L, "SPLIT", 20)
+    monkeypatch.setattr(L, "TILE", 16)
+    monkeypatch.setattr(L, "rarest", lambda *a: 1 / 0)
+    rnd = random.Random(8)
+    base = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=240)).strip()
+    lines = [base[:i] + "#" + base[i + 1 :] for i in range(1, 101)]  # one component
+    lines += [base[:i] + "".join(rnd.choices("0123456789", k=60)) + base[i + 60 :] for i in range(3, 13)]  # outside it
+    rows = [(i, x) for i, x in enumerate(lines)]
+    want = by_hand(rows)
+    assert sum(map(bool, want.values())) == 11
+    assert {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_tiles_have_all_pairs_but_those_within_the_core(spark, monkeypatch):
+    monkeypatch.setattr(L, "TILE", 4)
+    rows = [(7, i, 1 if i < 30 else i, 42, 12, i < 30) for i in range(42)]
+    schema = "large long, line long, root long, size long, outer long, core boolean, inner boolean"
+    for inner in (True, False):
+        tiles = {}
+        for r in L._tiles(spark.createDataFrame([(*r, inner) for r in rows], schema)).collect():
+            tiles.setdefault(r.g, set()).add(r.line)
+        met = {(a, b) for t in tiles.values() for a in t for b in t if a < b}
+        assert {(a, b) for a in range(30) for b in range(30, 42)} <= met
+        assert not inner or {(a, b) for a in range(30, 42) for b in range(a + 1, 42)} <= met
+        assert max(map(len, tiles.values())) < 30
+
+
+def test_alike_of_some_sets():
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 40, rnd.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
+    some = rnd.random(60) < 0.3
+    pairs = lambda x: {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, x), strict=True)}
+    got = L.all_alike(sets, 0.5, some)
+    assert len(got[0]) == len(pairs(got)) and pairs(got) == {p for p in pairs(L.all_alike(sets, 0.5)) if some[p[0]] or some[p[1]]}

@@ -4,10 +4,12 @@
 2. Lines that share a band are candidates. In a band with few lines all are paired; in a large one (copies of one
    line with small changes) each is paired with the band's first line and with its neighbour, which is linear.
 3. Pairs are verified by the exact Jaccard similarity of their shingle sets, and distributed union-find joins what is alike.
-4. Large bands in which more than one component is left are compared whole, in tiles, skipping pairs that are already joined. Where such
-   a band has more than SPLIT lines (a template that many different lines share), its lines meet in it once more on their rarest shingles
+4. Large bands in which more than one component is left are compared, in tiles: the lines outside the band's largest component with those in it and
+   with one another. Lines of the largest component are already joined. Where more than SPLIT lines are outside (a template that many different lines
+   share), those meet one another on their rarest shingles
    instead: of a set of n only the first few in order of rarity can be where it meets another one that is alike, and only sets of near
-   lengths do. That is exact, and shingles that everybody has aren't among them. So each pair that shares a band is verified or already connected.
+   lengths do. That is exact, and shingles that everybody has aren't among them; copies of one line with small changes have hardly any others, but are
+   one component. So each pair that shares a band is verified or already connected.
 5. Of each component the first occurrence stays; all other occurrences, exact copies too, go.
 """
 
@@ -31,7 +33,7 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 7, 14, 4, 0.8
 FEW = 8
 #: Large bands that are compared whole are cut into tiles of so many lines.
 TILE = 512
-#: Larger bands are split by their lines' rarest shingles before anything is compared whole: the work for a line stays within so many others.
+#: Where more lines of a band are outside its largest component, those meet by their rarest shingles: the work for a line stays within so many others.
 SPLIT = 2048
 #: Counters of shingles, by which their rarity goes; several shingles may share one.
 COUNTERS = 1 << 18
@@ -130,22 +132,29 @@ def alike(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
     return same >= least * (n + m - same)
 
 
-def all_alike(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of sets that are alike. Only elements of two sets or more count; their incidence matrix, in parts, times its own transpose has what pairs have in common."""
+def all_alike(sets: list[np.ndarray], least: float = SIMILARITY, of_sets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of sets that are alike, once each; with of_sets (bools) those of which it has one or both.
+
+    Only elements of two sets or more count; their incidence matrix, in parts, times its own transpose has what pairs have in common."""
+    some = np.arange(len(sets)) if of_sets is None else np.flatnonzero(of_sets)
     sizes = np.array([len(x) for x in sets], np.float32)
     elements, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
     shared = count[of] > 1
     of, owner = (np.cumsum(count > 1) - 1)[of[shared]], owner[shared]
-    same = np.zeros((len(sets), len(sets)), np.float32)
+    same = np.zeros((len(some), len(sets)), np.float32)
     order = np.argsort(of, kind="stable")
     of, owner = of[order], owner[order]
     for lo in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
         s, e = np.searchsorted(of, (lo, lo + 4096))
         m = np.zeros((len(sets), 4096), np.float32)
         m[owner[s:e], of[s:e] - lo] = 1
-        same += m @ m.T
-    return np.nonzero(np.triu(same >= least * (sizes[:, None] + sizes - same), 1))
+        same += m[some] @ m.T
+    i, j = np.nonzero(same >= least * (sizes[some, None] + sizes - same))
+    i, rest = some[i], np.ones(len(sets), bool)
+    rest[some] = False
+    once = (i < j) | rest[j]
+    return i[once], j[once]
 
 
 def line_id(line: str) -> tuple[int, int]:
@@ -404,11 +413,11 @@ def rarest(texts: DataFrame, sets_of, least: float) -> DataFrame:
 # --- pairs and links ------------------------------------------------------------------------------------------------------
 
 
-def _groups(batches, columns: int):
+def _groups(batches):
     """Rows sorted by their first column -> (columns of the rows of whole groups), as they come; a group may be large."""
     held = None
     for b in batches:
-        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if cut:
@@ -495,7 +504,7 @@ def _hopeful_lines(least: float):
     """Rows (g, line, root, size, sketch) sorted by g -> (g, line, root) of the lines that may be like one of another root in their g."""
 
     def run(batches):
-        for g, line, root, size, sketches in _groups(batches, 5):
+        for g, line, root, size, sketches in _groups(batches):
             some = np.zeros(len(g), bool)
             cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
             for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(g)], strict=True):
@@ -509,17 +518,17 @@ def _hopeful_lines(least: float):
 
 
 def _compared(least: float, k: int = SHINGLE, hashed=_hashed):
-    """Rows (g, line, root, text) sorted by g -> links between lines of different roots."""
+    """Rows (g, line, root, text [, core]) sorted by g -> links between lines of different roots; those of the core, which have one root, aren't compared with one another."""
 
     def run(batches):
-        for g, line, root, text in _groups(batches, 4):
+        for g, line, root, text, *core in _groups(batches):
             out = []
             cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
             for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(g)], strict=True):
                 own = root[s:e]
                 if e - s < 2 or (own == own[0]).all():
                     continue
-                i, j = all_alike(shingle_sets(list(text[s:e]), k, hashed), least)
+                i, j = all_alike(shingle_sets(list(text[s:e]), k, hashed), least, ~core[0][s:e].astype(bool) if core else None)
                 apart = own[i] != own[j]
                 out.append(forest(own[i[apart]], own[j[apart]]))
             if out:
@@ -542,16 +551,29 @@ def _found(pairs: DataFrame, texts: DataFrame, least: float, k: int, hashed, tag
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(large, line, root) of the large bands of pairs in which more than one component is left."""
+    """(large, line, root, size, outer, core) of the large bands of pairs in which more than one component is left. core: whether the line is
+    in the band's largest component; outer: how many lines of the band aren't."""
     large = pairs.where("large is not null").select("large", F.col("a").alias("line")).distinct()
     large = large.join(roots.toDF("line", "root"), "line", "left").select("large", "line", F.coalesce("root", "line").alias("root"))
-    mixed = large.groupBy("large").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("large", "size")
+    mixed = large.groupBy("large", "root").agg(F.count("*").alias("n")).groupBy("large").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"))
+    mixed = mixed.where("most.n < size").select("large", "size", (F.col("size") - F.col("most.n")).alias("outer"), F.col("most.root").alias("main"))
     mixed = written(mixed, "lines-mixed")
-    out = written(spread(large, mixed, "large", "line", MOST_ROWS, many="size"), "lines-apart")
+    out = spread(large, mixed, "large", "line", MOST_ROWS, many="size").withColumn("core", F.col("root") == F.col("main")).drop("main")
+    out = written(out, "lines-apart")
     dropped(mixed)
     return out
 
 
+def _tiles(whole: DataFrame) -> DataFrame:
+    """(g, line, root, core) for the tiles in which the lines outside the largest component of a band meet those in it and, where inner is true, one another."""
+    outer, core = (F.ceil(c / TILE).cast("int") for c in (F.col("outer"), F.col("size") - F.col("outer")))
+    own = F.when(F.col("core"), outer + F.pmod(F.xxhash64("line"), core).cast("int")).otherwise(F.pmod(F.xxhash64("line"), outer).cast("int"))
+    first = F.when(F.col("core") | F.col("inner"), F.lit(0)).otherwise(outer)
+    last = F.when(F.col("core"), outer - 1).otherwise(outer + core - 1)
+    pair = F.transform(F.sequence(first, last), lambda t: F.xxhash64("large", F.least(t, own), F.greatest(t, own)))
+    return whole.select(F.explode(pair).alias("g"), "line", "root", "core")
+
+
 def _texts_of(lines: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
     """(line, text) of the lines, once each, written. texts has them and others."""
     texts = texts.join(small(lines, MOST_ROWS), "line", "left_semi")
@@ -576,7 +598,7 @@ def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, has
     found = _found(once, texts, least, k, hashed, tag)
     roots = connected(found)
     whole = _apart(pairs, roots)
-    large = whole.where(F.col("size") > SPLIT).select("line", F.col("large").alias("group"))
+    large, inner = whole.where((F.col("outer") > SPLIT) & ~F.col("core")).select("line", F.col("large").alias("group")), F.lit(True)
     if "role" not in rows.columns and large.take(1):
         more = _pairs(rarest(large.join(texts, "line").select("line", "text", "group"), lambda lines: shingle_sets(lines, k, hashed), least), f"{tag}-rare")
         top = lambda c: roots.toDF(c, f"r{c}")
@@ -584,21 +606,19 @@ def links(rows: DataFrame, texts: DataFrame, least: float, k: int = SHINGLE, has
         again = _found(new, texts, least, k, hashed, f"{tag}-rare")
         before, roots = roots, connected(roots.toDF("a", "b").union(again))
         rest = _apart(more, roots)
-        few = whole.where(F.col("size") <= SPLIT).drop("root").join(roots.toDF("line", "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-        both = written(rest.unionByName(few), f"{tag}-whole")
+        now = whole.drop("root").join(roots.toDF("line", "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+        both = written(rest.withColumn("inner", F.lit(True)).unionByName(now.withColumn("inner", F.col("outer") <= SPLIT)), f"{tag}-whole")
         dropped(again, before, more, rest, whole)
-        whole = both
+        whole, inner = both, F.col("inner")
     if whole.take(1):
-        parts = F.ceil(F.col("size") / TILE).cast("int")
-        own = F.pmod(F.xxhash64("line"), parts).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.xxhash64("large", F.least(t, own), F.greatest(t, own)))
-        tiles = whole.select(F.explode(pair).alias("g"), "line", "root")
+        tiles = _tiles(whole.withColumn("inner", inner))
         if sketches is not None:
             tiles = tiles.join(sketches, "line").select("g", "line", "root", "size", "sketch").repartition("g").sortWithinPartitions("g")
             tiles = written(tiles.mapInArrow(_hopeful_lines(least), "g long, line long, root long"), f"{tag}-tiles")
             dropped(texts)
             texts = _texts_of(tiles.select("line").distinct(), all_texts, tag)
-        rest = tiles.join(texts, "line").select("g", "line", "root", "text")
+        core = F.col("core") if sketches is None else F.lit(False)
+        rest = tiles.join(texts, "line").select("g", "line", "root", "text", core.alias("core"))
         rest = rest.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(least, k, hashed), "a long, b long")
         before, roots = roots, connected(roots.toDF("a", "b").union(rest))
         dropped(before, *[tiles] * (sketches is not None))
