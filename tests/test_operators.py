@@ -283,3 +283,37 @@ def test_pages_of_one_url_keep_their_own_ranks(spark, sf, tmp_path, name):
     c = con.execute(catalog.ORACLES[name])
     at = [df.columns.index(d[0]) for d in c.description]
     assert sorted(tuple(r[i] for i in at) for r in df.collect()) == sorted(c.fetchall())
+
+
+def test_dictionaries_make_the_postings_once(spark, sf, tmp_path):
+    s = tables.page_store(tables.read(spark, sf, "pages"))
+
+    def noted(batches):
+        for b in batches:
+            with open(f"{tmp_path}/read", "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    main, small = index.dictionaries(s.mapInArrow(noted, s.schema), "once")
+    assert len((tmp_path / "read").read_text()) == s.count()
+    want = index.main_dictionary(s)
+    assert sorted(main.collect()) == sorted(want.collect()) and sorted(small.collect()) == sorted(index.small_dictionary(want).collect())
+
+
+@pytest.mark.parametrize("name", ["dict_stats", "term_tail", "dict_small"])
+def test_pages_are_tokenised_and_sorted_once(spark, sf, name):
+    from webloom.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    plan = index.page_terms(index.tokens_by_page(tables.page_store(tables.read(spark, sf, "pages"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Sort [") + plan.count(":- Sort [") == 1
+
+
+def test_a_sorted_dictionary_is_not_sorted_again(spark, sf, monkeypatch):
+    from webloom.plans import catalog
+
+    catalog.dict_sorted(spark, sf)
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda *a: 1 / 0)
+    got = [(r.term.encode(), r.page_index) for r in catalog.dict_sorted(spark, sf).orderBy("place").collect()]
+    assert [t for t, _ in got] == sorted(t for t, _ in got) and len(set(got)) == len(got)
